@@ -6,6 +6,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +136,7 @@ def coded(path: str, head, most_local: int, finish: Callable[[Batches], Batches]
             texts = batch.column(batch.num_columns - 1)
             while at < n:
                 words, counts, size, begin = [], [], 0, at
-                while at < n and size < 4 << 20:
+                while at < n and size < 2 << 20:
                     text = texts[at].as_py() or ""
                     w = split(text)
                     words += w
@@ -143,10 +144,12 @@ def coded(path: str, head, most_local: int, finish: Callable[[Batches], Batches]
                     size, at = size + len(text), at + 1
                 if len(table.at) > most_local:
                     table = fresh()
-                new = list(dict.fromkeys(w for w in words if w not in table.at))
-                if new:
-                    table.add(new, path)
-                code = np.fromiter(map(table.at.__getitem__, words), np.int64, len(words))
+                code = np.fromiter(map(table.at.get, words, repeat(-1)), np.int64, len(words))
+                missing = np.flatnonzero(code < 0)
+                if len(missing):
+                    new = [words[i] for i in missing]
+                    table.add(list(dict.fromkeys(new)), path)
+                    code[missing] = np.fromiter(map(table.at.__getitem__, new), np.int64, len(new))
                 tokens = table.lengths[code]
                 ids = gather(table.flat, table.starts[code], tokens)
                 ends = np.concatenate(([0], np.cumsum(tokens)))[np.concatenate(([0], np.cumsum(counts)))]
@@ -162,7 +165,7 @@ def coded(path: str, head, most_local: int, finish: Callable[[Batches], Batches]
     return (lambda batches: finish(run(batches))) if finish else run
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, finish: Callable[[Batches], Batches] | None = None, finish_schema: str = "", most_head: int = 1 << 19, most_local: int = 300_000) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, finish: Callable[[Batches], Batches] | None = None, finish_schema: str = "", most_head: int = 1 << 20, most_local: int = 300_000) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) for every row: the ids that the tokenizer of `path` gives the whole text
     without special tokens added (their strings in a text do become their ids), and the text that these ids decode to.
 
