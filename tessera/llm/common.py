@@ -138,13 +138,12 @@ def held_out() -> Column:
 
 def strata(df: DataFrame, by: str, each: int, seed: int = 11) -> DataFrame:
     """About `each` rows of every value of `by`, chosen by a hash of doc_id: a stratum of fewer rows is kept whole."""
-    spark = df.sparkSession
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}  # as many rows as labels have values
+    counts = {r[0]: r[1] for r in df.where(F.col(by).isNotNull()).groupBy(by).count().collect()}  # as many rows as labels have values
     if not counts:
         return df.limit(0)
-    share = spark.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], df.select(by).schema.add("_share", "double"))
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() if k is not None for x in (k, min(1.0, each / n)))), F.col(by))
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(F.broadcast(share), by).where(u < F.col("_share")).drop("_share")
+    return df.where(u < share)
 
 
 class Adam:
