@@ -179,9 +179,9 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     path = path or default_path()
     rows = only(docs, doc_id=id_col, text=text_col)
     found, _ = head_words(rows, path, most_head)
-    found = found.toPandas()
-    ids = [list(x) for x in found["ids"]]
-    head = (list(found["word"]), np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((x for i in ids for x in i), np.int32))
+    found = found.toArrow()
+    ids = pa.array([], pa.list_(pa.int32())) if not found.num_rows else found.column("ids").combine_chunks()
+    head = (found.column("word").to_pylist(), np.asarray(ids.value_lengths(), np.int64), np.asarray(ids.flatten(), np.int32))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + (finish_schema or "ids array<int>, decoded string")
     return rows.mapInArrow(coded(path, spark.sparkContext.broadcast(head), most_local, finish), schema)

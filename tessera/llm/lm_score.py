@@ -141,8 +141,8 @@ def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length:
     counts, path = written(docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(2, -(-total // most_head))
-    head = counts.where(F.col("n") >= least).toPandas()
-    words, n = head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64)
+    head = counts.where(F.col("n") >= least).toArrow()
+    words, n = (head.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -227,7 +227,7 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     1. Every set emits tile keys (size band, group of the hash range, sum of the group's hashes). Links differ in too few
        shingles to touch all groups, so linked sets share a key; equal sets are one set from here on.
     2. In each tile every set is compared with the tile's first: bitmap bound, then exact intersection. That joins almost all.
-    3. Tiles whose sets are still of several classes, and hold more than two, compare the rest across classes, in blocks of
+    3. Tiles whose sets are still of several classes, and hold more than two (of tiles with the same sets one), compare the rest across classes, in blocks of
        `tile_rows` sets and `tile_hashes` hashes, so that no task holds a whole hot tile.
 
     Null or wordless texts: size 0, linked with nothing, component_id their own id. Null ids: the row counts, but gives no
@@ -250,7 +250,8 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     members = live.select("key", "f1").union(live.select("key", F.col("lead").alias("f1"))).distinct()
     placed = members.join(held.select("f1", "node", "n"), "f1").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("f1")
     placed, p_placed = written(placed, "ngram-placed")
-    blocks = placed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 2 and lo <> hi")
+    blocks = placed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(5)).bitwiseAND(F.lit((1 << 40) - 1))).alias("y"))
+    blocks = blocks.where("c > 2 and lo <> hi").groupBy("c", "s", "x", "y").agg(F.min("key").alias("key"))  # tiles of the same sets are one
     blocks = blocks.select("key", F.greatest(F.ceil(F.col("c") / tile_rows), F.ceil(F.col("s") / tile_hashes)).cast("int").alias("nb"))
     tiles = placed.join(blocks, "key").withColumn("at", F.expr("cast(pmod(xxhash64(node, 3), nb) as int)"))
     tiles = tiles.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "node", "comp")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import POWERS, mix, only, removed, row_key, signed, text_views, written
+from tessera.llm.common import M1, POWERS, mix, only, removed, row_key, signed, text_views, written
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -51,12 +51,15 @@ def anchored_runs(total: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     Equal windows have equal anchors at equal distances, wherever they stand. Of each run: first window, number of windows,
     place of the anchor, hash of the anchor.
     """
-    size, parts = len(total) - 1, []
+    size, parts, down = len(total) - 1, [], POWERS.upto(len(total))[1]
     for c in range(0, size - length + 1, CHUNK):
         top = min(size, c + CHUNK + length - 1)
-        at = np.arange(c, top - GRAM + 1)
-        gram = slice_hash(total, at, at + GRAM)
-        least = sliding_min((gram & ~LOW) | (at - c).astype(np.uint64), length - GRAM + 1)
+        gram = (total[c + GRAM : top + 1] - total[c : top - GRAM + 1]) * down[c : top - GRAM + 1]
+        gram ^= gram >> np.uint64(32)
+        gram *= M1  # the high bits, which the order goes by, depend on all bits
+        key = gram & ~LOW
+        key |= np.arange(len(gram), dtype=np.uint64)
+        least = sliding_min(key, length - GRAM + 1)
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         place = (least[first] & LOW).astype(np.int64)
         parts.append((c + first, np.diff(np.append(first, len(least))), c + place, gram[place]))
@@ -82,6 +85,10 @@ def found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == x, at
 
 
+def longs(t: pa.Table, column: str) -> np.ndarray:
+    return t.column(column).to_numpy().astype(np.int64).view(np.uint64)
+
+
 def anchors(length: int):
     """Anchors with how often each stands in a slice of texts."""
 
@@ -323,7 +330,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         """A sorted broadcast array of a long column, or None beyond lookup_rows: then nothing is left out."""
         if df.count() > lookup_rows:
             return None
-        return spark.sparkContext.broadcast(np.sort(df.select(column).toPandas()[column].to_numpy(np.int64).view(np.uint64)))
+        return spark.sparkContext.broadcast(np.sort(longs(df.select(column).toArrow(), column)))
 
     common, p_common = written(text.mapInArrow(anchors(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeats-anchors")
     runs, p_runs = written(text.mapInArrow(named_runs(length, looked_up(common, "anchor")), "anchor long, name long, n long").groupBy("anchor", "name").agg(F.sum("n").alias("n")), "repeats-runs")
@@ -351,13 +358,12 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     full = runs.where("n > 1").select("anchor", "name")
     small = full.count() <= lookup_rows and (ranges.agg(F.sum(F.size("froms"))).first()[0] or 0) <= lookup_rows
     if small:
-        part = ranges.select("name", "froms", "tos").toPandas()
-        order = np.argsort(part["name"].to_numpy(np.int64).view(np.uint64))
-        froms, tos = ([x for x in part[c].iloc[order]] for c in ("froms", "tos"))
-        flat = [np.concatenate(x).astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in (froms, tos)]
-        lo = np.cumsum([0, *map(len, froms)])
-        names = np.sort(full.select("name").toPandas()["name"].to_numpy(np.int64).view(np.uint64))
-        looked = spark.sparkContext.broadcast((names, part["name"].to_numpy(np.int64).view(np.uint64)[order], lo, *flat))
+        part = ranges.select("name", "froms", "tos").toArrow()
+        names = longs(part, "name")
+        order = np.argsort(names)
+        froms, tos = (pa.array([], x.type) if not x.num_chunks else x.combine_chunks().take(pa.array(order)) for x in (part.column("froms"), part.column("tos")))
+        lo = np.cumsum(np.concatenate(([0], np.asarray(froms.value_lengths(), np.int64))))
+        looked = spark.sparkContext.broadcast((np.sort(longs(full.select("name").toArrow(), "name")), names[order], lo, np.asarray(froms.flatten()), np.asarray(tos.flatten())))
         source = rows
     else:
         r1, r2 = row_key()
