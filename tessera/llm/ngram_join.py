@@ -153,27 +153,6 @@ def bound(a: int, pop_a, b: int, pop_b, common):
     return common + np.minimum(a - pop_a, b - pop_b)
 
 
-def linked_pairs(num: int, den: int, bits: int):
-    """Pairs of sets: their links, the bitmaps' bound first and then the exact intersection."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            a, b, x, y = (batch.column(c) for c in ("a", "b", "ha", "hb"))
-            for i in range(len(batch)):
-                h, g = (np.frombuffer(c[i].as_py(), np.uint64) for c in (x, y))
-                m, o = bitmap(h, bits), bitmap(g, bits)
-                pop = [int(np.bitwise_count(z).sum()) for z in (m, o, m & o)]
-                top = int(bound(len(h), pop[0], len(g), pop[1], pop[2]))
-                if den * top >= num * (len(h) + len(g) - top):
-                    i_ = overlap(h, g)
-                    if den * i_ >= num * (len(h) + len(g) - i_):
-                        out.append(i)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(out, pa.int32())), b.take(pa.array(out, pa.int32()))], ["a", "b"])
-
-    return run
-
-
 def tile_links(num: int, den: int, bits: int):
     """Of rows sorted by tile: links that join members of different classes, no more than make them one class."""
 
@@ -219,16 +198,17 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 1024, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = 1 << 20) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 4096, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the class of documents that chains of links reach.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of n-word shingles. Hashes stand for shingles.
 
     1. Every set emits tile keys (size band, group of the hash range, sum of the group's hashes). Links differ in too few
        shingles to touch all groups, so linked sets share a key; equal sets are one set from here on.
-    2. In each tile every set is compared with the tile's first: bitmap bound, then exact intersection. That joins almost all.
-    3. Tiles whose sets are still of several classes, and hold more than two (of tiles with the same sets one), compare the rest across classes, in blocks of
-       `tile_rows` sets and `tile_hashes` hashes, so that no task holds a whole hot tile.
+    2. Sets of a key meet in the tile of the key's first set, each once for a tile, however many keys they share. A tile's
+       sets are compared by their bitmaps' bound, then by exact intersection, as long as they are of different classes.
+    3. A tile of more than `tile_rows` sets or `tile_hashes` hashes is cut into blocks, so that no task holds it. If the blocks
+       leave it in several classes, its blocks meet in pairs and compare across classes.
 
     Null or wordless texts: size 0, linked with nothing, component_id their own id. Null ids: the row counts, but gives no
     component_id; a class of null ids only has a null one. Repeated rows and ties: equal sets are one class. An empty table
@@ -244,24 +224,31 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     want, p_want = written(reps.join(lit, "f1").select("r", "f1", "node", "n"), "ngram-want")
     few = want.count() <= broadcast_rows
     held, p_held = written(rows.select("r", "text").join(F.broadcast(want) if few else want, "r").mapInArrow(sets(n), "f1 long, node long, n long, h binary"), "ngram-held")
-    left, right = (held.select(F.col("f1").alias(f), F.col("node").alias(c), F.col("h").alias(h)) for f, c, h in (("lead", "a", "ha"), ("f1", "b", "hb")))
-    first, p_first = written(live.select("lead", "f1").distinct().join(left, "lead").join(right, "f1").where("a <> b").select("a", "b", "ha", "hb").mapInArrow(linked_pairs(num, den, bits), "a long, b long"), "ngram-first")
-    comp = classes(first, "ngram-first-classes")
-    members = live.select("key", "f1").union(live.select("key", F.col("lead").alias("f1"))).distinct()
-    placed = members.join(held.select("f1", "node", "n"), "f1").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("f1")
-    placed, p_placed = written(placed, "ngram-placed")
-    blocks = placed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(5)).bitwiseAND(F.lit((1 << 40) - 1))).alias("y"))
-    blocks = blocks.where("c > 2 and lo <> hi").groupBy("c", "s", "x", "y").agg(F.min("key").alias("key"))  # tiles of the same sets are one
-    blocks = blocks.select("key", F.greatest(F.ceil(F.col("c") / tile_rows), F.ceil(F.col("s") / tile_hashes)).cast("int").alias("nb"))
-    tiles = placed.join(blocks, "key").withColumn("at", F.expr("cast(pmod(xxhash64(node, 3), nb) as int)"))
-    tiles = tiles.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "node", "comp")
-    tiles = tiles.join(held.select("node", "h"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second, p_second = written(tiles.mapInArrow(tile_links(num, den, bits), "a long, b long"), "ngram-second")
-    edges, p_edges = written(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(second), "ngram-all")
+    nodes = held.select("f1", "node", "n").distinct()
+    pairs, p_pairs = written(live.select(F.col("lead").alias("key"), "f1").distinct().join(nodes, "f1").select("key", "f1", "node", "n"), "ngram-pairs")
+    blocks = pairs.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_hashes)).cast("int").alias("nb"))
+    blocks, p_blocks = written(blocks, "ngram-blocks")
+    dealt = pairs.join(blocks, "key").withColumn("at", F.expr("cast(pmod(xxhash64(node, 3), nb) as int)"))
+    sets_ = held.select("f1", "node", "h")
+    members = dealt.select("key", "f1", "node", "at").join(sets_, ["f1", "node"]).select("key", "at", "node", "h")
+    firsts = blocks.withColumn("at", F.explode(F.expr("sequence(0, nb - 1)"))).join(sets_, blocks["key"] == sets_["f1"]).select("key", "at", "node", "h")
+    tiles = members.union(firsts).select("key", F.col("at").alias("i"), F.col("at").alias("j"), "node", F.col("node").alias("comp"), "h")
+    edges, p_edges = written(tiles.repartition("key", "i").sortWithinPartitions("key", "i").mapInArrow(tile_links(num, den, bits), "a long, b long"), "ngram-edges")
+    paths = [p_live, p_want, p_pairs, p_blocks, p_edges]
+    if blocks.where("nb > 1").limit(1).count():
+        comp = classes(edges, "ngram-first")
+        placed = dealt.where("nb > 1").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed, p_placed = written(placed.select("key", "f1", "node", "comp", "at", "nb"), "ngram-placed")
+        open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        rest = placed.join(open_, "key", "left_semi").withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).where("o <> at")
+        rest = rest.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "f1", "node", "comp").join(sets_, ["f1", "node"])
+        more, p_more = written(rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tile_links(num, den, bits), "a long, b long"), "ngram-more")
+        edges, p_all = written(edges.union(more), "ngram-all")
+        paths += [p_placed, p_more, p_all]
     joined = classes(edges, "ngram-classes")
     named = reps.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     names, _ = written(named.select("f1", "f2", "comp").join(least, "comp").select("f1", "f2", "component_id"), "ngram-names")
-    removed(spark, p_live, p_want, p_held, p_first, p_placed, p_second, p_edges)
+    removed(spark, p_held, *paths)
     out = base.select("doc_id", "n", "f1", "f2").join(names, ["f1", "f2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
