@@ -1,0 +1 @@
+"""No streams: the data model is a list of finished partitions, and no operator works on unbounded input."""
