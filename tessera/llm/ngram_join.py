@@ -136,13 +136,16 @@ def live_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, last = k[-1], lead[-1], f[-1]
 
 
-def sets(n: int):
+def sets(n: int, bits: int):
+    """The sets of texts, with their bitmaps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in text_views(batch):
+                got = [shingle_set(data[off[i] : off[i + 1]], n) for i in range(len(rows))]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("f1"), rows.column("node"), rows.column("n"), pa.array([shingle_set(data[off[i] : off[i + 1]], n).tobytes() for i in range(len(rows))], pa.binary())],
-                    ["f1", "node", "n", "h"],
+                    [rows.column("f1"), rows.column("node"), rows.column("n"), pa.array([bitmap(h, bits).tobytes() for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())],
+                    ["f1", "node", "n", "m", "h"],
                 )
 
     return run
@@ -153,10 +156,53 @@ def bound(a: int, pop_a, b: int, pop_b, common):
     return common + np.minimum(a - pop_a, b - pop_b)
 
 
-def tile_links(num: int, den: int, bits: int):
-    """Of rows sorted by tile: links that join members of different classes, no more than make them one class."""
+def may_link(size: np.ndarray, bitmaps: list[bytes], comps: list[int], num: int, den: int) -> np.ndarray:
+    """Which pairs of a tile are of different classes and can link, by their sizes and bitmaps."""
+    grid = np.unpackbits(np.frombuffer(b"".join(bitmaps), np.uint8).reshape(len(size), -1), axis=1).astype(np.float32)
+    pop = grid.sum(1).astype(np.int64)
+    top = bound(size[:, None], pop[:, None], size[None, :], pop[None, :], (grid @ grid.T).astype(np.int64))
+    comp = np.unique(comps, return_inverse=True)[1]
+    return (den * top >= num * (size[:, None] + size[None, :] - top)) & (comp[:, None] != comp[None, :])
+
+
+def by_tile(columns: tuple[str, ...], solve, make):
+    """A function over rows sorted by tile (key, i, j): solve(lists of the columns) for each tile of several classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+        for batch in batches:
+            out = []
+            for *at, row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), zip(*(batch.column(c).to_pylist() for c in columns))):
+                if at != tile:
+                    out += closed(tile, held)
+                    tile, held = at, []
+                held.append(row)
+            yield make(out)
+        yield make(closed(tile, held))
+
+    def closed(tile, rows: list[tuple]) -> list[tuple]:
+        rows = list(dict.fromkeys(rows))
+        return solve(tile, *zip(*rows)) if len({r[1] for r in rows}) > 1 else []
+
+    return run
+
+
+def tile_survivors(num: int, den: int):
+    """The members of each tile that can link with another one."""
 
-    def links(nodes: list[int], comps: list[int], hashes: list[np.ndarray]) -> list[tuple[int, int]]:
+    def solve(tile, nodes, comps, sizes, bitmaps):
+        near = may_link(np.array(sizes, np.int64), bitmaps, comps, num, den).any(1)
+        return [(*tile, nodes[i], comps[i]) for i in np.flatnonzero(near)]
+
+    names = ["key", "i", "j", "node", "comp"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    return by_tile(("node", "comp", "n", "m"), solve, lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names))
+
+
+def tile_links(num: int, den: int):
+    """Links that join the members of each tile that are of different classes, no more than make them one class."""
+
+    def solve(_, nodes, comps, bitmaps, hashes):
         parent = {c: c for c in comps}
 
         def root(c: int) -> int:
@@ -164,14 +210,9 @@ def tile_links(num: int, den: int, bits: int):
                 parent[c] = c = parent[parent[c]]
             return c
 
-        size = np.array([len(h) for h in hashes])
-        grid = np.stack([np.unpackbits(bitmap(h, bits)) for h in hashes]).astype(np.float32)
-        pop = grid.sum(1).astype(np.int64)
-        top = bound(size[:, None], pop[:, None], size[None, :], pop[None, :], (grid @ grid.T).astype(np.int64))
-        comp = np.unique(comps, return_inverse=True)[1]
-        may = (den * top >= num * (size[:, None] + size[None, :] - top)) & (comp[:, None] != comp[None, :])
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(may, 1))):
+        hashes = [np.frombuffer(h, np.uint64) for h in hashes]
+        size, out = np.array([len(h) for h in hashes]), []
+        for i, j in zip(*np.nonzero(np.triu(may_link(size, bitmaps, comps, num, den), 1))):
             if (p := root(comps[i])) != (q := root(comps[j])):
                 both = overlap(hashes[i], hashes[j])
                 if den * both >= num * (size[i] + size[j] - both):
@@ -179,26 +220,14 @@ def tile_links(num: int, den: int, bits: int):
                     out.append((nodes[i], nodes[j]))
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, ([], [], [])
-        for batch in batches:
-            out = []
-            for *at, node, comp, h in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "comp", "h"))):
-                if at != tile:
-                    out += links(*held) if len(set(held[1])) > 1 else []
-                    tile, held = at, ([], [], [])
-                held[0].append(node), held[1].append(comp), held[2].append(np.frombuffer(h, np.uint64))
-            yield edge_batch(out)
-        yield edge_batch(links(*held) if len(set(held[1])) > 1 else [])
-
-    return run
+    return by_tile(("node", "comp", "m", "h"), solve, edge_batch)
 
 
 def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 4096, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = 1 << 20) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 2048, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the class of documents that chains of links reach.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of n-word shingles. Hashes stand for shingles.
@@ -206,7 +235,8 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     1. Every set emits tile keys (size band, group of the hash range, sum of the group's hashes). Links differ in too few
        shingles to touch all groups, so linked sets share a key; equal sets are one set from here on.
     2. Sets of a key meet in the tile of the key's first set, each once for a tile, however many keys they share. A tile's
-       sets are compared by their bitmaps' bound, then by exact intersection, as long as they are of different classes.
+       bitmaps bound what pairs can share; sets travel only for members with a possible link, and are then compared exactly
+       as long as they are of different classes.
     3. A tile of more than `tile_rows` sets or `tile_hashes` hashes is cut into blocks, so that no task holds it. If the blocks
        leave it in several classes, its blocks meet in pairs and compare across classes.
 
@@ -216,35 +246,44 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     """
     spark = docs.sparkSession
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("r", F.xxhash64("doc_id", "text"))
-    base, _ = written(rows.mapInArrow(tagged(n, num, den), "doc_id long, r long, n long, f1 long, f2 long, keys array<long>"), "ngram-sets")
+    full, p_full = written(rows.mapInArrow(tagged(n, num, den), "doc_id long, r long, n long, f1 long, f2 long, keys array<long>"), "ngram-keys")
+    base, _ = written(full.drop("keys"), "ngram-sets")
     reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("r").alias("r"), F.first("n").alias("n")).withColumn("node", F.expr("coalesce(rep, -1 - (r & 9223372036854775807))"))
-    keys = base.where(F.size("keys") > 0).select("f1", F.explode("keys").alias("key"))
+    keys = full.where(F.size("keys") > 0).select("f1", F.explode("keys").alias("key"))
     live, p_live = written(keys.repartition("key").sortWithinPartitions("key", "f1").mapInArrow(live_runs, "key long, lead long, f1 long"), "ngram-live")
+    removed(spark, p_full)
     lit = live.select("f1").union(live.select("lead")).distinct()
     want, p_want = written(reps.join(lit, "f1").select("r", "f1", "node", "n"), "ngram-want")
     few = want.count() <= broadcast_rows
-    held, p_held = written(rows.select("r", "text").join(F.broadcast(want) if few else want, "r").mapInArrow(sets(n), "f1 long, node long, n long, h binary"), "ngram-held")
+    held, p_held = written(rows.select("r", "text").join(F.broadcast(want) if few else want, "r").mapInArrow(sets(n, bits), "f1 long, node long, n long, m binary, h binary"), "ngram-held")
     nodes = held.select("f1", "node", "n").distinct()
     pairs, p_pairs = written(live.select(F.col("lead").alias("key"), "f1").distinct().join(nodes, "f1").select("key", "f1", "node", "n"), "ngram-pairs")
     blocks = pairs.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_hashes)).cast("int").alias("nb"))
     blocks, p_blocks = written(blocks, "ngram-blocks")
     dealt = pairs.join(blocks, "key").withColumn("at", F.expr("cast(pmod(xxhash64(node, 3), nb) as int)"))
-    sets_ = held.select("f1", "node", "h")
-    members = dealt.select("key", "f1", "node", "at").join(sets_, ["f1", "node"]).select("key", "at", "node", "h")
-    firsts = blocks.withColumn("at", F.explode(F.expr("sequence(0, nb - 1)"))).join(sets_, blocks["key"] == sets_["f1"]).select("key", "at", "node", "h")
-    tiles = members.union(firsts).select("key", F.col("at").alias("i"), F.col("at").alias("j"), "node", F.col("node").alias("comp"), "h")
-    edges, p_edges = written(tiles.repartition("key", "i").sortWithinPartitions("key", "i").mapInArrow(tile_links(num, den, bits), "a long, b long"), "ngram-edges")
-    paths = [p_live, p_want, p_pairs, p_blocks, p_edges]
+    signs, sets_ = held.select("node", "n", "m"), held.select("node", "m", "h")
+    paths = [p_live, p_want, p_pairs, p_blocks]
+
+    def compared(tiles: DataFrame, name: str) -> DataFrame:
+        """The links in tiles (key, i, j, node, comp): sets travel only for members whose bitmaps leave a link possible."""
+        dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        near, p_near = written(dealt(tiles.join(signs, "node")).mapInArrow(tile_survivors(num, den), "key long, i int, j int, node long, comp long"), f"{name}-near")
+        out, p_out = written(dealt(near.join(sets_, "node")).mapInArrow(tile_links(num, den), "a long, b long"), name)
+        paths.extend((p_near, p_out))
+        return out
+
+    firsts = blocks.withColumn("at", F.explode(F.expr("sequence(0, nb - 1)"))).join(nodes.select("f1", "node"), F.col("key") == F.col("f1")).select("key", "node", "at")
+    tiles = dealt.select("key", "node", "at").union(firsts)
+    edges = compared(tiles.select("key", F.col("at").alias("i"), F.col("at").alias("j"), "node", F.col("node").alias("comp")), "ngram-edges")
     if blocks.where("nb > 1").limit(1).count():
         comp = classes(edges, "ngram-first")
         placed = dealt.where("nb > 1").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        placed, p_placed = written(placed.select("key", "f1", "node", "comp", "at", "nb"), "ngram-placed")
+        placed, p_placed = written(placed.select("key", "node", "comp", "at", "nb"), "ngram-placed")
         open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         rest = placed.join(open_, "key", "left_semi").withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).where("o <> at")
-        rest = rest.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "f1", "node", "comp").join(sets_, ["f1", "node"])
-        more, p_more = written(rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tile_links(num, den, bits), "a long, b long"), "ngram-more")
+        more = compared(rest.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "node", "comp"), "ngram-more")
         edges, p_all = written(edges.union(more), "ngram-all")
-        paths += [p_placed, p_more, p_all]
+        paths += [p_placed, p_all]
     joined = classes(edges, "ngram-classes")
     named = reps.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
