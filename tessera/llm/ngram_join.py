@@ -77,13 +77,20 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def bitmap(h: np.ndarray, bits: int) -> np.ndarray:
-    """A signature of `bits` bits with a bit set for each hash, as bytes."""
+def bitmap(h: np.ndarray, each: int) -> np.ndarray:
+    """A signature with a bit set for each hash, as bytes: a power of two of bits, `each` for a hash at least."""
+    bits = 1 << max(8, int(each * len(h) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out)
 
 
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Rows of 0 and 1 of the shortest bitmap's length; a longer one's parts are laid over each other."""
+    least = 8 * min(map(len, bitmaps))
+    return np.stack([np.unpackbits(np.frombuffer(b, np.uint8)).reshape(-1, least).max(0) for b in bitmaps])
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """The size of the intersection of two sorted arrays of distinct hashes."""
     at = np.searchsorted(b, a)
@@ -136,7 +143,7 @@ def live_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, last = k[-1], lead[-1], f[-1]
 
 
-def sets(n: int, bits: int):
+def sets(n: int, each: int):
     """The sets of texts, with their bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +151,7 @@ def sets(n: int, bits: int):
             for rows, data, off in text_views(batch):
                 got = [shingle_set(data[off[i] : off[i + 1]], n) for i in range(len(rows))]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("f1"), rows.column("node"), rows.column("n"), pa.array([bitmap(h, bits).tobytes() for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())],
+                    [rows.column("f1"), rows.column("node"), rows.column("n"), pa.array([bitmap(h, each).tobytes() for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())],
                     ["f1", "node", "n", "m", "h"],
                 )
 
@@ -158,7 +165,7 @@ def bound(a: int, pop_a, b: int, pop_b, common):
 
 def may_link(size: np.ndarray, bitmaps: list[bytes], comps: list[int], num: int, den: int) -> np.ndarray:
     """Which pairs of a tile are of different classes and can link, by their sizes and bitmaps."""
-    grid = np.unpackbits(np.frombuffer(b"".join(bitmaps), np.uint8).reshape(len(size), -1), axis=1).astype(np.float32)
+    grid = folded(bitmaps).astype(np.float32)
     pop = grid.sum(1).astype(np.int64)
     top = bound(size[:, None], pop[:, None], size[None, :], pop[None, :], (grid @ grid.T).astype(np.int64))
     comp = np.unique(comps, return_inverse=True)[1]
@@ -227,7 +234,7 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 2048, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = 1 << 20) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits_each: int = 2, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the class of documents that chains of links reach.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of n-word shingles. Hashes stand for shingles.
@@ -255,7 +262,7 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     lit = live.select("f1").union(live.select("lead")).distinct()
     want, p_want = written(reps.join(lit, "f1").select("r", "f1", "node", "n"), "ngram-want")
     few = want.count() <= broadcast_rows
-    held, p_held = written(rows.select("r", "text").join(F.broadcast(want) if few else want, "r").mapInArrow(sets(n, bits), "f1 long, node long, n long, m binary, h binary"), "ngram-held")
+    held, p_held = written(rows.select("r", "text").join(F.broadcast(want) if few else want, "r").mapInArrow(sets(n, bits_each), "f1 long, node long, n long, m binary, h binary"), "ngram-held")
     nodes = held.select("f1", "node", "n").distinct()
     pairs, p_pairs = written(live.select(F.col("lead").alias("key"), "f1").distinct().join(nodes, "f1").select("key", "f1", "node", "n"), "ngram-pairs")
     blocks = pairs.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_hashes)).cast("int").alias("nb"))
