@@ -143,16 +143,16 @@ def live_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, last = k[-1], lead[-1], f[-1]
 
 
-def sets(n: int, each: int):
-    """The sets of texts, with their bitmaps."""
+def sets(n: int, each: int, whole: bool):
+    """The bitmaps of texts' sets; the sets too, if they are wanted whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in text_views(batch):
                 got = [shingle_set(data[off[i] : off[i + 1]], n) for i in range(len(rows))]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("f1"), rows.column("node"), rows.column("n"), pa.array([bitmap(h, each).tobytes() for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())],
-                    ["f1", "node", "n", "m", "h"],
+                    [*(rows.column(c) for c in ("f1", "node", "n")), pa.array([bitmap(h, each).tobytes() for h in got], pa.binary()), *([pa.array([h.tobytes() for h in got], pa.binary())] if whole else [])],
+                    ["f1", "node", "n", "m", *(["h"] if whole else [])],
                 )
 
     return run
@@ -261,22 +261,31 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     removed(spark, p_full)
     lit = live.select("f1").union(live.select("lead")).distinct()
     want, p_want = written(reps.join(lit, "f1").select("r", "f1", "node", "n"), "ngram-want")
-    few = want.count() <= broadcast_rows
-    held, p_held = written(rows.select("r", "text").join(F.broadcast(want) if few else want, "r").mapInArrow(sets(n, bits_each), "f1 long, node long, n long, m binary, h binary"), "ngram-held")
+
+    def read(some: DataFrame, whole: bool, name: str) -> tuple[DataFrame, str]:
+        """The bitmaps (and sets) of the representatives in `some`, from their texts."""
+        few = some.count() <= broadcast_rows
+        kind = "f1 long, node long, n long, m binary" + ", h binary" * whole
+        return written(rows.select("r", "text").join(F.broadcast(some) if few else some, "r").mapInArrow(sets(n, bits_each, whole), kind), name)
+
+    held, p_held = read(want, False, "ngram-signs")
     nodes = held.select("f1", "node", "n").distinct()
     pairs, p_pairs = written(live.select(F.col("lead").alias("key"), "f1").distinct().join(nodes, "f1").select("key", "f1", "node", "n"), "ngram-pairs")
     blocks = pairs.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_hashes)).cast("int").alias("nb"))
     blocks, p_blocks = written(blocks, "ngram-blocks")
     dealt = pairs.join(blocks, "key").withColumn("at", F.expr("cast(pmod(xxhash64(node, 3), nb) as int)"))
-    signs, sets_ = held.select("node", "n", "m"), held.select("node", "m", "h")
+    signs = held.select("node", "n", "m")
     paths = [p_live, p_want, p_pairs, p_blocks]
 
     def compared(tiles: DataFrame, name: str) -> DataFrame:
         """The links in tiles (key, i, j, node, comp): sets travel only for members whose bitmaps leave a link possible."""
         dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         near, p_near = written(dealt(tiles.join(signs, "node")).mapInArrow(tile_survivors(num, den), "key long, i int, j int, node long, comp long"), f"{name}-near")
-        out, p_out = written(dealt(near.join(sets_, "node")).mapInArrow(tile_links(num, den), "a long, b long"), name)
+        some, p_some = written(want.join(near.select("node").distinct(), "node").select("r", "f1", "node", "n"), f"{name}-some")
+        sets_, p_sets = read(some, True, f"{name}-sets")
+        out, p_out = written(dealt(near.join(sets_.select("node", "m", "h"), "node")).mapInArrow(tile_links(num, den), "a long, b long"), name)
         paths.extend((p_near, p_out))
+        removed(spark, p_some, p_sets)
         return out
 
     firsts = blocks.withColumn("at", F.explode(F.expr("sequence(0, nb - 1)"))).join(nodes.select("f1", "node"), F.col("key") == F.col("f1")).select("key", "node", "at")
