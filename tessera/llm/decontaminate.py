@@ -74,14 +74,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows, p_windows = written(hits.select("doc_id", "r", "n", "size", start.alias("start")).distinct(), "decon-windows")
     # the windows' shingles, from the texts that have windows
     taken = windows.groupBy("r").agg(F.collect_list(F.struct("n", "size", "start")).alias("x"))
-    held = rows.join(hinted(taken), "r").select("doc_id", "r", words(F.col("text")).alias("w"), "x")
+    held = rows.join(hinted(taken), "r").dropDuplicates(["r"]).select("r", words(F.col("text")).alias("w"), "x")
     cut = [
-        held.select("doc_id", "r", shingle_hashes(F.col("w"), k).alias("hs"), F.expr(f"filter(x, y -> y.size = {k})").alias("x"))
-        .select("doc_id", "r", "hs", F.explode("x").alias("x"))
-        .select("doc_id", "r", "x.*", F.explode(F.slice("hs", F.col("x.start") + 1, F.col("x.n") - F.col("x.size") + 1)).alias("h"))
+        held.select("r", shingle_hashes(F.col("w"), k).alias("hs"), F.expr(f"filter(x, y -> y.size = {k})").alias("x"))
+        .select("r", "hs", F.explode("x").alias("x"))
+        .select("r", "x.*", F.explode(F.slice("hs", F.col("x.start") + 1, F.col("x.n") - F.col("x.size") + 1)).alias("h"))
         for k in sizes
     ]
-    key = ["doc_id", "r", "n", "size", "start"]
+    key = ["r", "n", "size", "start"]
     counts, p_counts = written(_union(cut).groupBy(*key, "h").agg(F.count("*").alias("c")), "decon-counts")
     item_counts = shingles.groupBy("item_id", "item", "n", "size", "h").agg(F.count("*").alias("c"))
     item_key = ["item_id", "item", "n", "size"]
@@ -97,6 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     joined = shared.alias("a").join(weights.alias("b"), _all([F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*key, "item_id", "item"]])).select("a.*", "b.total", "b.item_total")
     union = F.col("total") + F.col("item_total") - F.col("both")
     best = F.max_by(F.struct((F.col("both") / union).alias("similarity"), F.col("start").cast("long").alias("start_word")), F.struct(F.col("both") / union, -F.col("start")))
+    joined = joined.join(windows.select("r", "doc_id").distinct(), "r")
     found = joined.where(F.col("both") * den >= union * num).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.start_word", "b.similarity")
     found, _ = written(found, "decon-found")
     removed(spark, p_shingles, p_windows, p_counts, p_pairs)

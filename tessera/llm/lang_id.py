@@ -42,10 +42,11 @@ class ByteConv:
         self.p |= {f"w{w}": r.normal(0, 1 / np.sqrt(w * dim), (w * dim, filters)) for w in WIDTHS}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, size: int = 64, rate: float = 0.01, seed: int = 6) -> "ByteConv":
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, size: int = 64, rate: float = 0.01, least_steps: int = 400, seed: int = 6) -> "ByteConv":
         r, adam, span = np.random.default_rng(seed), Adam(self.p, rate), self.length - OVER
-        for _ in range(epochs):
-            for rows in np.array_split(r.permutation(len(x)), max(1, len(x) // size)):
+        steps = max(1, len(x) // size)
+        for _ in range(max(epochs, -(-least_steps // steps))):
+            for rows in np.array_split(r.permutation(len(x)), steps):
                 p, b = self.p, x[rows]
                 e = p["emb"][b]
                 pooled, kept = [], []
