@@ -63,7 +63,7 @@ def counted(path: str):
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 count.update(words(text or ""))
-                if len(count) > 200_000:
+                if len(count) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["word", "n"])
                     count = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["word", "n"])
@@ -136,7 +136,7 @@ def coded(path: str, head, most_local: int, finish: Callable[[Batches], Batches]
             texts = batch.column(batch.num_columns - 1)
             while at < n:
                 words, counts, size, begin = [], [], 0, at
-                while at < n and size < 2 << 20:
+                while at < n and size < 1 << 20:
                     text = texts[at].as_py() or ""
                     w = split(text)
                     words += w
@@ -165,7 +165,7 @@ def coded(path: str, head, most_local: int, finish: Callable[[Batches], Batches]
     return (lambda batches: finish(run(batches))) if finish else run
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, finish: Callable[[Batches], Batches] | None = None, finish_schema: str = "", most_head: int = 1 << 20, most_local: int = 300_000) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, finish: Callable[[Batches], Batches] | None = None, finish_schema: str = "", most_head: int = 1 << 20, most_local: int = 150_000) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) for every row: the ids that the tokenizer of `path` gives the whole text
     without special tokens added (their strings in a text do become their ids), and the text that these ids decode to.
 
