@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Groups beyond the pigeonhole's need: a set leaves up to so many of its groups empty without keys for them.
-SPARE = 1
+#: Standard deviations above the expected number of empty groups that a band provides for.
+SPREAD = 3
 
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
@@ -48,16 +49,29 @@ class Bands:
     """Size bands for a share num / den: two linked sets are in one band or in adjacent ones.
 
     Linked sets of sizes a <= b differ in at most (a + b) * (den - num) / (den + num) shingles. With that bound `most` for a
-    band, most + 1 groups of the hash range hold at least one group without a difference, so equal group sums find every link.
+    band, most + 1 + spare groups of the hash range hold at least 1 + spare groups without a difference. A set with up to
+    `spare` empty groups needs keys for the others only: one of them has no difference and a hash, so equal group sums find
+    every link. A set with more emits them all, and meets there with others that lack the same groups; so spare follows the
+    number of empty groups that the band's smallest sets are expected to have.
     """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 31):
-        self.low, self.groups = [1], []
-        while self.low[-1] < largest:
-            a = self.low[-1] * den // num
+        self.low, self.groups, self.spare = [1], [], []
+        while (low := self.low[-1]) < largest:
+            a = low * den // num
             self.low.append(a + 1)
             most = (a + a * den // num) * (den - num) // (den + num)
-            self.groups.append(most + 1 + SPARE if most else 0)  # without a difference only equal sets link
+            self.spare.append(self.empty(low, most + 1))
+            self.groups.append(most + 1 + self.spare[-1] if most else 0)  # without a difference only equal sets link
+
+    @staticmethod
+    def empty(low: int, need: int) -> int:
+        """How many of a set's groups to expect empty, if it has `low` hashes and the pigeonhole needs `need` groups with one."""
+        spare = 1
+        for _ in range(8):  # more groups leave more of them empty
+            mean = (need + spare) * math.exp(-low / (need + spare))
+            spare = min(need, max(1, math.ceil(mean + SPREAD * math.sqrt(mean))))
+        return spare
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """The tile keys of a set: of its own band, and of the band below as a guest."""
@@ -70,7 +84,7 @@ class Bands:
             group = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             at = np.searchsorted(group, np.arange(m + 1, dtype=np.uint64))
             full = np.diff(at) > 0
-            if m - full.sum() > SPARE:
+            if m - full.sum() > self.spare[k]:
                 full[:] = True
             g = np.flatnonzero(full)
             out.append(mix((total[at[g + 1]] - total[at[g]]) ^ mix((g + (k << 32)).astype(np.uint64))))
