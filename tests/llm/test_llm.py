@@ -195,3 +195,23 @@ def test_queries(spark):
     r = queries.op2_bpe(spark, SMALL).first()
     text = spark.read.parquet(f"{SMALL}/documents.parquet").where(F.col("doc_id") == r["doc_id"]).first()["text"]
     assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100)])
+def test_bands_share_a_key(num, den):
+    """Linked sets share a tile key at every size, also where groups are empty; unlinked ones of few hashes seldom do."""
+    rng, bands, met = np.random.default_rng(5), ngram_join.Bands(num, den), 0
+    for size in [*range(5, 60), 100, 400, 1000, 3000]:
+        for _ in range(8):
+            pool = np.unique(rng.integers(0, 1 << 64, 3 * size, np.uint64, endpoint=False))
+            rng.shuffle(pool)
+            most = size * (den - num) // (den + num)  # of each side's own hashes
+            a, b, c = np.sort(pool[:size]), np.sort(pool[most : size + most]), np.sort(pool[2 * size :])
+            both = ngram_join.overlap(a, b)
+            if den * both >= num * (2 * size - both) and most:
+                assert np.intersect1d(bands.keys(a), bands.keys(b)).size
+            less = np.sort(pool[: size * num // den + 1])  # a part of a, as large as a link needs
+            if len(less) < size:
+                assert np.intersect1d(bands.keys(a), bands.keys(less)).size
+            met += size >= 100 and np.intersect1d(bands.keys(a), bands.keys(c)).size > 0
+    assert met <= 1
