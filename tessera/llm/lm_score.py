@@ -59,6 +59,7 @@ class Vocabulary:
         np.add.at(total, self.klass, n)
         for b, (mass, _) in tail.items():
             total[NAMED + b] += mass
+        self.total = total
         self.inside = np.log(n / total[self.klass])
         self.tail = np.array([np.log(max(tail.get(b, (1, 1))[0], 1) / max(tail.get(b, (1, 1))[1], 1) / max(total[NAMED + b], 1.0)) for b in range(BUCKETS)])
 
@@ -112,28 +113,93 @@ class WindowNet:
             out[i : i + 4096] = hit - np.log(z.sum(1, dtype=np.float64))
         return np.minimum(out, 0.0)
 
+    def gradient(self, c: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss over these contexts and their classes."""
+        h = self.hidden(c)
+        z = h @ self.p["out"] + self.p["bias"]
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z *= 1 / (len(y) * z.sum(1, keepdims=True))
+        z[np.arange(len(y)), y] -= 1 / len(y)
+        dh = (z @ self.p["out"].T) * (1 - h * h)
+        emb = np.zeros_like(self.p["emb"])
+        for k in range(len(SIDES)):
+            order = np.argsort(c[:, k].astype(np.int16), kind="stable")
+            side = c[order, k]
+            first = np.flatnonzero(np.concatenate(([True], side[1:] != side[:-1])))
+            emb[k][side[first]] = np.add.reduceat(dh[order], first, 0)
+        return {"out": h.T @ z, "bias": z.sum(0), "h": dh.sum(0), "emb": emb}
+
+    def steps(self, c: np.ndarray, y: np.ndarray, adam: Adam, r: np.random.Generator, size: int) -> None:
+        for rows in np.array_split(r.permutation(len(y)), max(1, len(y) // size)):
+            adam.step(self.gradient(c[rows], y[rows]))
+
     def fit(self, c: np.ndarray, y: np.ndarray, epochs: int = 4, size: int = 512, rate: float = 0.01, seed: int = 10) -> "WindowNet":
         self.p["bias"] = np.log((np.bincount(y, minlength=CLASSES) + 0.5) / (len(y) + 0.5 * CLASSES)).astype(np.float32)
         r, adam = np.random.default_rng(seed), Adam(self.p, rate)
         for _ in range(epochs):
-            for rows in np.array_split(r.permutation(len(y)), max(1, len(y) // size)):
-                h = self.hidden(c[rows])
-                z = h @ self.p["out"] + self.p["bias"]
-                z = np.exp(z - z.max(1, keepdims=True))
-                z /= z.sum(1, keepdims=True)
-                z[np.arange(len(rows)), y[rows]] -= 1
-                z /= len(rows)
-                dh = (z @ self.p["out"].T) * (1 - h * h)
-                emb = np.zeros_like(self.p["emb"])
-                for k in range(len(SIDES)):
-                    np.add.at(emb[k], c[rows, k], dh)
-                adam.step({"out": h.T @ z, "bias": z.sum(0), "h": dh.sum(0), "emb": emb})
+            self.steps(c, y, adam, r, size)
         return self
 
+    def packed(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def unpacked(self, flat: np.ndarray) -> "WindowNet":
+        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
+        self.p = {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(self.p.items(), np.split(flat, cuts))}
+        return self
+
+
+def trained(model, rate: float, size: int):
+    """Training steps over all texts of a task, from the broadcast network: the parameters and how many words taught them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, flat = model.value
+        net, words = WindowNet().unpacked(flat), 0
+        adam, r = Adam(net.p, rate), np.random.default_rng(12)
+        for batch in batches:
+            for _, data, off in text_views(batch, most=1 << 20):
+                w, counts = words_of(data, off)
+                if len(w):
+                    klass = vocabulary.look_up(w)[0]
+                    net.steps(contexts(klass, counts), klass, adam, r, size)
+                    words += len(w)
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array([net.packed().tobytes()]), pa.array([words])], ["p", "words"])
+
+    return run
+
+
+def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of networks, each weighted by its words."""
+    total, words = np.float64(0.0), 0
+    for batch in batches:
+        for p, n in zip(batch.column("p"), batch.column("words").to_pylist()):
+            total, words = total + n * np.frombuffer(p.as_py(), np.float32).astype(np.float64), words + n
+    if words:
+        yield pa.RecordBatch.from_arrays([pa.array([(total / words).astype(np.float32).tobytes()]), pa.array([words])], ["p", "words"])
+
+
+def taught_by_all(rows: DataFrame, vocabulary: Vocabulary, net: WindowNet, rounds: int = 4, rate: float = 0.005, size: int = 1024) -> WindowNet:
+    """The network after every text has taught it once. A hash deals the documents to rounds; in a round each task trains a copy
+    of the network on its texts, and the mean of the copies, weighted by their words, goes into the next round. Copies are
+    averaged in 32 tasks first, so that what the driver gets doesn't grow with the tasks.
+    """
+    kind = "p binary, words long"
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(rounds))
+    for k in range(rounds):
+        model = rows.sparkSession.sparkContext.broadcast((vocabulary, net.packed()))
+        copies = rows.where(turn == k).select("text").mapInArrow(trained(model, rate, size), kind)
+        means = copies.repartition(32).mapInArrow(averaged, kind).toArrow()
+        for out in averaged(iter(means.combine_chunks().to_batches())):
+            net = WindowNet().unpacked(np.frombuffer(out.column("p")[0].as_py(), np.float32))
+        model.destroy()
+    return net
+
 
 def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length: int = 2000) -> tuple[Vocabulary, WindowNet | None]:
-    """The vocabulary, from the words of all documents; the network, fitted on the driver on about `texts` passages of
-    `length` characters, whose documents and places a hash of doc_id and text picks.
+    """The vocabulary, from the words of all documents; the network, started on the driver on about `texts` passages of
+    `length` characters, whose documents and places a hash of doc_id and text picks, then taught by all documents.
 
     The head are the words with at least 1 / most_head of all occurrences: at most most_head of them, a proven bound.
     """
@@ -159,11 +225,16 @@ def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length:
     at = F.pmod(F.xxhash64("doc_id", F.lit(22)), F.greatest(F.length("text") - length + 1, F.lit(1))) + 1
     sample = [r[0].encode() for r in rows.where(u < share).select(F.substring("text", at.cast("int"), F.lit(length))).collect()]
     off = np.cumsum([0, *map(len, sample)])
-    if not sample:
+    if not total:
         return vocabulary, None
-    w, size = words_of(np.frombuffer(b"".join(sample), np.uint8), off)
-    klass = vocabulary.look_up(w)[0]
-    return vocabulary, WindowNet().fit(contexts(klass, size), klass) if len(w) else None
+    net = WindowNet()
+    w, size = words_of(np.frombuffer(b"".join(sample), np.uint8), off) if sample else ((), ())
+    if len(w):
+        klass = vocabulary.look_up(w)[0]
+        net.fit(contexts(klass, size), klass)
+    else:
+        net.p["bias"] = np.log((vocabulary.total + 0.5) / (total + 0.5 * CLASSES)).astype(np.float32)
+    return vocabulary, taught_by_all(rows, vocabulary, net)
 
 
 def scored(model):
@@ -192,8 +263,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mo
     """(doc_id, n_tokens, log_prob, mean_log_prob, pseudo_perplexity) for every row.
 
     A token is a white-space word, A-Z lower-cased. log_prob sums over all tokens of the whole text the log of
-    P(class | two words on either side) * P(word | class); the first from the network, the second from counts over all
-    documents (see Vocabulary). Null, empty and wordless texts: 0 tokens, log_prob 0, null means. Repeated rows and null ids
+    P(class | two words on either side) * P(word | class); the first from the network, which all words of all documents
+    teach once, the second from counts over all documents (see Vocabulary). Null, empty and wordless texts: 0 tokens, log_prob 0, null means. Repeated rows and null ids
     are kept and count in the statistics; an empty table gives no rows; other columns are not looked at.
     """
     rows = only(docs, doc_id=id_col, text=text_col)

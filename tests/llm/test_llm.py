@@ -124,6 +124,12 @@ def test_window_net_learns():
     assert net.log_probs(c, y).mean() > -0.2 > net.log_probs(c, r.permutation(y)).mean()
 
 
+def test_lm_score_learns_outside_the_sample(spark):
+    """Without any passage to start from, the documents alone teach the network which word stands between which."""
+    df = spark.createDataFrame([(k, "one two three four " * 3000) for k in range(20)], "doc_id long, text string").coalesce(1)
+    assert all(r["mean_log_prob"] > -0.5 for r in lm_score.score(df, texts=0).collect())
+
+
 def test_shards(docs, odd):
     for df, k in ((docs, 24), (odd, 3)):
         out = shards.shard(df, k, slice_rows=2, bucket_groups=60).toPandas()
