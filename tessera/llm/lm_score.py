@@ -45,11 +45,11 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vocabulary:
     """The class of every word and the log-probability of the word in its class, from counts over the whole corpus.
 
-    The words of the head are known one by one. Other words share, in their bucket, what the bucket's tail words have: each is
-    taken as the bucket's mean tail word.
+    The words of the head are known one by one. Other words are taken as seen once; rare() and score() add the logarithm of
+    their own counts by a join.
     """
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tail: dict[int, tuple[int, int]]):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tail: dict[int, int]):
         order = np.argsort(words)
         self.words, n = words[order], counts[order].astype(np.float64)
         self.klass = NAMED + bucket(self.words)
@@ -57,11 +57,16 @@ class Vocabulary:
         self.klass[top] = np.arange(len(top))
         total = np.full(CLASSES, 1e-9)
         np.add.at(total, self.klass, n)
-        for b, (mass, _) in tail.items():
+        for b, mass in tail.items():
             total[NAMED + b] += mass
         self.total = total
         self.inside = np.log(n / total[self.klass])
-        self.tail = np.array([np.log(max(tail.get(b, (1, 1))[0], 1) / max(tail.get(b, (1, 1))[1], 1) / max(total[NAMED + b], 1.0)) for b in range(BUCKETS)])
+        self.tail = -np.log(np.maximum(total[NAMED:], 1.0))
+
+    def unknown(self, w: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.ones(len(w), bool)
+        return self.words[np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)] != w
 
     def look_up(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         klass = NAMED + bucket(w)
@@ -197,11 +202,12 @@ def taught_by_all(rows: DataFrame, vocabulary: Vocabulary, net: WindowNet, round
     return net
 
 
-def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length: int = 2000) -> tuple[Vocabulary, WindowNet | None]:
+def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length: int = 2000) -> tuple[Vocabulary, WindowNet | None, DataFrame, str]:
     """The vocabulary, from the words of all documents; the network, started on the driver on about `texts` passages of
     `length` characters, whose documents and places a hash of doc_id and text picks, then taught by all documents.
 
-    The head are the words with at least 1 / most_head of all occurrences: at most most_head of them, a proven bound.
+    The head are the words with at least 1 / most_head of all occurrences: at most most_head of them, a proven bound. Also the
+    counts of the other words that occur more than once, and the path of their table, for removed().
     """
     spark = docs.sparkSession
     counts, path = written(docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
@@ -214,10 +220,10 @@ def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length:
         for batch in batches:
             b = bucket(np.array(batch.column("word"), np.int64)) if len(batch) else np.zeros(0, np.int64)
             mass = np.bincount(b, np.asarray(batch.column("n")), BUCKETS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(mass), pa.array(np.bincount(b, minlength=BUCKETS))], ["b", "mass", "types"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(mass)], ["b", "mass"])
 
-    tail = {r["b"]: (r["mass"], r["types"]) for r in counts.where(F.col("n") < least).mapInArrow(tails, "b long, mass long, types long").groupBy("b").agg(F.sum("mass").alias("mass"), F.sum("types").alias("types")).collect()}
-    removed(spark, path)
+    tail = {r["b"]: r["mass"] for r in counts.where(F.col("n") < least).mapInArrow(tails, "b long, mass long").groupBy("b").agg(F.sum("mass").alias("mass")).collect()}
+    others = counts.where((F.col("n") > 1) & (F.col("n") < least))
     vocabulary = Vocabulary(words, n, tail)
     rows = docs.where(F.octet_length("text") > 0)
     share = min(1.0, texts / max(1, rows.count()))
@@ -226,7 +232,7 @@ def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length:
     sample = [r[0].encode() for r in rows.where(u < share).select(F.substring("text", at.cast("int"), F.lit(length))).collect()]
     off = np.cumsum([0, *map(len, sample)])
     if not total:
-        return vocabulary, None
+        return vocabulary, None, others, path
     net = WindowNet()
     w, size = words_of(np.frombuffer(b"".join(sample), np.uint8), off) if sample else ((), ())
     if len(w):
@@ -234,7 +240,26 @@ def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length:
         net.fit(contexts(klass, size), klass)
     else:
         net.p["bias"] = np.log((vocabulary.total + 0.5) / (total + 0.5 * CLASSES)).astype(np.float32)
-    return vocabulary, taught_by_all(rows, vocabulary, net)
+    return vocabulary, taught_by_all(rows, vocabulary, net), others, path
+
+
+def rare(model):
+    """Every text's words outside the head, each once with its count there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = model.value[0]
+        for batch in batches:
+            for rows, data, off in text_views(batch, most=1 << 20):
+                w, counts = words_of(data, off)
+                out = np.flatnonzero(vocabulary.unknown(w))
+                w, at = w[out], np.repeat(np.arange(len(counts)), counts)[out]
+                order = np.lexsort((w, at))
+                w, at = w[order], at[order]
+                first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (at[1:] != at[:-1])))[: len(w)])
+                c = np.diff(np.concatenate((first, [len(w)]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at[first])), pa.array(w[first]), pa.array(c)], ["r", "word", "c"])
+
+    return run
 
 
 def scored(model):
@@ -250,11 +275,7 @@ def scored(model):
                 ends = np.cumsum(counts)
                 upto = np.concatenate(([0.0], np.cumsum(p)))
                 total = upto[ends] - upto[ends - counts]
-                mean = np.where(counts > 0, total / np.maximum(counts, 1), np.nan)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(counts), pa.array(total), pa.array(mean, mask=counts == 0), pa.array(np.exp(np.minimum(-mean, 700.0)), mask=counts == 0)],
-                    ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "pseudo_perplexity"],
-                )
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(counts), pa.array(total)], ["r", "doc_id", "n_tokens", "log_prob"])
 
     return run
 
@@ -264,10 +285,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mo
 
     A token is a white-space word, A-Z lower-cased. log_prob sums over all tokens of the whole text the log of
     P(class | two words on either side) * P(word | class); the first from the network, which all words of all documents
-    teach once, the second from counts over all documents (see Vocabulary). Null, empty and wordless texts: 0 tokens, log_prob 0, null means. Repeated rows and null ids
+    teach once, the second from counts over all documents: of the head's words inside the tasks, of all others by a join of every text's words with the counts. Null, empty and wordless texts: 0 tokens, log_prob 0, null means. Repeated rows and null ids
     are kept and count in the statistics; an empty table gives no rows; other columns are not looked at.
     """
     rows = only(docs, doc_id=id_col, text=text_col)
-    model = docs.sparkSession.sparkContext.broadcast(learnt(rows, most_head, texts))
+    vocabulary, net, others, path = learnt(rows, most_head, texts)
+    model = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scored(model), f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double, pseudo_perplexity double")
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("r"), "doc_id", "text")
+    out = rows.mapInArrow(scored(model), f"r long, doc_id {kind}, n_tokens long, log_prob double")
+    own = rows.select("r", "text").mapInArrow(rare(model), "r long, word long, c int").join(others.hint("shuffle_hash"), "word")
+    own = own.groupBy("r").agg(F.sum(F.col("c") * F.log("n")).alias("own"))
+    # repeated rows have one r and gave their words each
+    again = rows.groupBy("r").agg(F.count("*").alias("again")).where("again > 1")
+    own = own.join(again, "r", "left").select("r", (F.col("own") / F.coalesce("again", F.lit(1))).alias("own"))
+    total = F.col("log_prob") + F.coalesce("own", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    out = out.join(own, "r", "left").select("doc_id", "n_tokens", total.alias("log_prob"))
+    out = out.withColumn("mean_log_prob", mean).withColumn("pseudo_perplexity", F.exp(F.least(-F.col("mean_log_prob"), F.lit(700.0))))
+    out, _ = written(out, "lm-scores")
+    removed(docs.sparkSession, path)
+    return out

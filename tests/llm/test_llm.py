@@ -130,6 +130,19 @@ def test_lm_score_learns_outside_the_sample(spark):
     assert all(r["mean_log_prob"] > -0.5 for r in lm_score.score(df, texts=0).collect())
 
 
+def test_lm_score_counts_rare_words(spark):
+    """Two words outside the head, of one bucket and in one context, differ by their counts; repeated rows get the same."""
+    names = [f"w{k}" for k in range(200)]
+    by = collections.defaultdict(list)
+    for name in names:
+        w = lm_score.words_of(np.frombuffer(name.encode(), np.uint8), np.array([0, len(name)]))[0]
+        by[int(lm_score.bucket(w)[0])].append(name)
+    often, once = max(by.values(), key=len)[:2]
+    rows = [(0, "the " * 5000), (1, often), (1, often), (2, once), *((k, often) for k in range(3, 31))]
+    out = {r["doc_id"]: r["log_prob"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), most_head=64).collect()}
+    assert out[1] == pytest.approx(out[2] + np.log(30)) == out[3]
+
+
 def test_shards(docs, odd):
     for df, k in ((docs, 24), (odd, 3)):
         out = shards.shard(df, k, slice_rows=2, bucket_groups=60).toPandas()
