@@ -43,9 +43,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, start_word, similarity): a row for every document and benchmark item that it holds.
 
     A document holds an item where a window of as many words as the item has den * |shared| >= num * |union|, both counted over
-    the multisets of five-word shingles (an item of fewer words is one shingle). Windows are taken at every alignment at which
-    document and item share a shingle, moved into the document where they stand out of it; start_word and similarity are those
-    of the best (of equals the first). Such a pair has a SimHash distance of about 10 of 64 bits at 0.8, with a spread of 3;
+    the multisets of five-word shingles (an item of fewer words is one shingle). Windows are taken at every start, but for those
+    with fewer shared shingles than the similarity needs even if each counts; so the order of an item's parts does not matter.
+    start_word and similarity are those of the best; of equals the first at which a shared shingle stands in the same place of
+    window and item, or the first if there is none. Such a pair has a SimHash distance of about 10 of 64 bits at 0.8, with a spread of 3;
     `radius` is 4 spreads above. Only built-in functions. What is broadcast (the items' shingles, the windows' rows) is counted
     before; beyond broadcast_rows rows Spark joins it otherwise.
 
@@ -66,14 +67,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return empty
     parts = [items.where(F.col("size") == k).select("item_id", "item", "n", "size", F.posexplode(shingle_hashes(F.col("w"), k)).alias("offset", "h")) for k in sizes]
     shingles, p_shingles = written(_union(parts), "decon-items")
-    lookup = hinted(shingles.select("h", "n", "size", "offset").distinct())
+    lookup = hinted(shingles.select("h", "item", "n", "size", "offset").distinct())
     text = rows.select("doc_id", "r", words(F.col("text")).alias("w")).where("size(w) > 0")
     hits = [text.select("doc_id", "r", F.size("w").alias("long"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("at", "h")) for k in sizes]
     hits = _union(hits).join(lookup, "h")
     start = F.greatest(F.least(F.col("at") - F.col("offset"), F.col("long") - F.col("n")), F.lit(0))
-    windows, p_windows = written(hits.select("doc_id", "r", "n", "size", start.alias("start")).distinct(), "decon-windows")
+    hits = hits.groupBy("doc_id", "r", "long", "item", "n", "size").agg(F.sort_array(F.collect_set("at")).alias("ats"), F.collect_set(start).alias("aligned"))
+    # shared shingles that a window must hold: both * den >= num * (total + item_total - both)
+    hits = hits.withColumn("total", F.least("long", "n") - F.col("size") + 1)
+    hits = hits.withColumn("need", F.expr(f"int(({num} * (total + n - size + 1) + {num + den - 1}) div {num + den})")).where("size(ats) >= need")
+
+    def holding(j: Column) -> Column:
+        """The starts of the windows that hold the shared shingles j to j + need - 1."""
+        low = F.greatest(F.get("ats", j + F.col("need") - 1) - F.col("total") + 1, F.lit(0))
+        high = F.least(F.get("ats", j), F.greatest(F.col("long") - F.col("n"), F.lit(0)))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("ats") - F.col("need")), holding)))
+    windows = hits.select("doc_id", "r", "item", "n", "size", "aligned", F.explode(starts).alias("start"))
+    windows, p_windows = written(windows.withColumn("aligned", F.array_contains("aligned", F.col("start"))), "decon-windows")
     # the windows' shingles, from the texts that have windows
-    taken = windows.groupBy("r").agg(F.collect_list(F.struct("n", "size", "start")).alias("x"))
+    taken = windows.groupBy("r").agg(F.collect_set(F.struct("n", "size", "start")).alias("x"))
     held = rows.join(hinted(taken), "r").dropDuplicates(["r"]).select("r", words(F.col("text")).alias("w"), "x")
     cut = [
         held.select("r", shingle_hashes(F.col("w"), k).alias("hs"), F.expr(f"filter(x, y -> y.size = {k})").alias("x"))
@@ -96,8 +110,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = shared.join(hinted(item_counts.select("item", "n", "size", "h", F.col("c").alias("k"))), ["item", "n", "size", "h"]).groupBy(*key, "item_id", "item").agg(F.sum(F.least("c", "k")).alias("both"))
     joined = shared.alias("a").join(weights.alias("b"), _all([F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*key, "item_id", "item"]])).select("a.*", "b.total", "b.item_total")
     union = F.col("total") + F.col("item_total") - F.col("both")
-    best = F.max_by(F.struct((F.col("both") / union).alias("similarity"), F.col("start").cast("long").alias("start_word")), F.struct(F.col("both") / union, -F.col("start")))
+    best = F.max_by(F.struct((F.col("both") / union).alias("similarity"), F.col("start").cast("long").alias("start_word")), F.struct(F.col("both") / union, F.coalesce("aligned", F.lit(False)), -F.col("start")))
     joined = joined.join(windows.select("r", "doc_id").distinct(), "r")
+    joined = joined.join(windows.select("r", "item", "start", "aligned").distinct(), ["r", "item", "start"], "left")
     found = joined.where(F.col("both") * den >= union * num).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.start_word", "b.similarity")
     found, _ = written(found, "decon-found")
     removed(spark, p_shingles, p_windows, p_counts, p_pairs)

@@ -91,6 +91,33 @@ def test_decontaminate(spark, docs, odd):
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_reordered_items(spark):
+    """Items with their parts swapped inside longer documents, against brute force over all windows."""
+    r = np.random.default_rng(4)
+    items = {k: [f"i{k}x{j}" for j in range(n)] for k, n in enumerate((60, 60, 80, 41, 12))}
+    held = {}
+    for d in range(15):
+        w, cut = items[d % 5], int(r.integers(1, len(items[d % 5])))
+        parts = [w[cut:] + w[:cut], w[:cut] + ["zz"] + w[cut:], w[: len(w) - 1] + ["yy"]][d % 3]
+        held[d] = [f"a{d}y{j}" for j in range(100)] + parts + [f"b{d}y{j}" for j in range(int(r.integers(0, 99)))]
+    held[15] = [f"f{j}" for j in range(100)] + items[0][30:] + items[0][:30] + [f"g{j}" for j in range(100)]
+
+    def bag(w):
+        return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    want = {}
+    for d, w in held.items():
+        for k, item in items.items():
+            b, best = bag(item), 0
+            for s in range(max(len(w) - len(item), 0) + 1):
+                a = bag(w[s : s + len(item)])
+                best = max(best, (a & b).total() / (a | b).total())
+            if best >= 0.8:
+                want[d, k] = pytest.approx(best)
+    docs, bench = (spark.createDataFrame([(k, " ".join(w)) for k, w in x.items()], f"{c} long, text string") for x, c in ((held, "doc_id"), (items, "item_id")))
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, bench).collect()} == want and (15, 0) in want
+
+
 def test_learnt_scores(spark, docs, odd):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
