@@ -62,7 +62,7 @@ RULES = [
 
 
 def sentences(text: Column) -> Column:
-    """Sentences end at . ! or ? before white space, and at line ends."""
+    """Sentences end at . ! or ? before white space, and at line ends; scan() also joins lines."""
     return F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+", "$1\n"), "\n")
 
 
@@ -73,9 +73,11 @@ def normalised(sentence: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, rule_no, license_id, n_matches, first_sentence): a row for every rule that a document's text states.
 
-    Sentences that are known one by one become identifiers; others are passed over. A rule matches where its identifiers
+    Sentences that are known one by one become identifiers; others are passed over. Neighbouring lines that a known sentence is
+    wrapped over count as that sentence, and what is known within them does not; comment marks before them are no letters and
+    so fall away, but a blank line or the end of a sentence is not crossed. A rule matches where its identifiers
     follow each other in what is left, as often as it can without overlap, and takes them from the rules after it.
-    first_sentence counts all sentences of the text from 0. Only built-in functions; the known sentences (a fixed table of
+    first_sentence counts all sentences of the text, each line as one, from 0. Only built-in functions; the known sentences (a fixed table of
     this module or the caller's) are broadcast.
 
     Null, empty and unlicensed texts give no rows; repeated rows (equal in id and text) give their rows once; a null id stays
@@ -84,12 +86,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     known, rules = known or SENTENCES, rules or RULES
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame([(v, k) for k, v in known.items()], "sentence string, code string"))
-    longest = max(map(len, known.values()))
+    split = [v.split() for v in known.values()]
+    begins = {" ".join(w[:k]) for w in split for k in range(1, len(w) + 1)}
+    most = max(map(len, split))
     parts = only(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull())
-    parts = parts.select("doc_id", F.xxhash64("doc_id", "text").alias("r"), F.posexplode(sentences(F.col("text"))).alias("at", "raw"))
-    # what is left of a sentence has each of its letters and digits, so one with more of them than any known one is not known
-    parts = parts.select("doc_id", "r", "at", normalised(F.col("raw")).alias("sentence")).where(F.length("sentence").between(1, longest))
-    seen = parts.join(table, "sentence").groupBy("doc_id", "r").agg(F.sort_array(F.collect_set(F.struct("at", "code"))).alias("s"))
+    # a full stop stays behind lines that end a sentence: lines joined over it are not known
+    lines = F.transform(sentences(F.col("text")), lambda x: F.concat(normalised(x), F.when(F.rlike(x, F.lit(r"[.!?]\s*$")), ".").otherwise("")))
+    parts = parts.select("doc_id", F.xxhash64("doc_id", "text").alias("r"), lines.alias("lines"))
+    parts = parts.select("doc_id", "r", "lines", F.posexplode("lines").alias("at", "first")).where(F.rtrim("first", F.lit(".")).isin(sorted(begins)))
+    runs = F.transform(F.sequence(F.lit(1), F.least(F.size("lines") - F.col("at"), F.lit(most))), lambda k: F.struct(k.alias("many"), F.rtrim(F.array_join(F.slice("lines", F.col("at") + 1, k), " "), F.lit(".")).alias("sentence")))
+    runs = parts.select("doc_id", "r", "at", F.explode(runs).alias("x")).select("doc_id", "r", "at", "x.*")
+    seen = runs.join(table, "sentence").groupBy("doc_id", "r").agg(F.sort_array(F.collect_set(F.struct("at", "many", "code"))).alias("s"))
+    seen = seen.withColumn("long", F.filter("s", lambda x: x["many"] > 1))
+    within = lambda x: F.exists("long", lambda y: (y["many"] > x["many"]) & (y["at"] <= x["at"]) & (y["at"] + y["many"] >= x["at"] + x["many"]))
+    seen = seen.withColumn("s", F.filter("s", lambda x: ~within(x)))
     state = seen.select("doc_id", F.col("s.at").alias("at"), F.array_join("s.code", "").alias("left0"))
     found = []
     for k, (name, codes) in enumerate(rules):

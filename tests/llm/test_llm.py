@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -79,6 +80,21 @@ def test_licenses(odd, spark):
     assert licenses.scan(odd).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Published texts, wrapped at 72 columns with comment marks; a blank line or a sentence's end is not crossed."""
+    known = licenses.SENTENCES
+
+    def wrapped(codes, mark):
+        return f"\n{mark}\n".join("\n".join(mark + line for line in textwrap.wrap(known[c].capitalize() + ".", 72)) for c in codes)
+
+    texts = {k: "Copyright 2020\n\n" + wrapped(codes, mark) for k, (codes, mark) in enumerate([("DE", ""), ("RSTU", "# "), ("RST", " * "), ("KMN", "// "), ("L", "  "), ("X", "")])}
+    texts[6] = "Licensed under the Apache License,\nVersion 2.0\n(the License)"
+    texts[7] = "Released under\n\nthe MIT License. Licensed. Under the MIT License"
+    texts[8] = "Released under\r\nthe MIT License.\nAll rights reserved."
+    got = {(r["doc_id"], r["license_id"], r["rule_no"], r["first_sentence"]) for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {(0, "MIT", 0, 2), (1, "BSD-3-Clause", 1, 2), (2, "BSD-2-Clause", 2, 2), (3, "GPL-3.0-or-later", 4, 2), (4, "GPL-2.0-or-later", 7, 2), (5, "ISC", 18, 2), (6, "Apache-2.0", 10, 0), (8, "MIT", 8, 0), (8, "all-rights-reserved", 19, 2)}
+
+
 def test_decontaminate(spark, docs, odd):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     first = items.orderBy("item_id").first()
