@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
+import uuid
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, written
+from tessera.llm.common import only, removed, shared_dir, shuffles_deleted, written
 
-#: Unicode White_Space, which the tokenizer's own pattern splits at (fixed values).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word is a run of other characters with the one blank before it; white space left over is a word too. The tokenizer never
-#: merges across these borders, nor does a word's split depend on its neighbours, so ids of words in order are ids of the text.
-WORD = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+#: Unicode White_Space, which the tokenizer's own pattern splits at, as a class of Java's patterns.
+SPACE = r"\s\x85\p{Z}"
+#: Texts of more bytes are split chunk by chunk.
+CHUNK = 1 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -44,144 +45,313 @@ def specials(path: str) -> list[str]:
     return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
 
-def splitter(path: str) -> Callable[[str], list[str]]:
-    """Words of a text; the strings of added tokens stand alone, as the tokenizer looks for them first."""
-    marks = specials(path)
-    cut = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")") if marks else None
-
-    def words(text: str) -> list[str]:
-        if cut is None or not any(m in text for m in marks):
-            return WORD.findall(text)
-        return [w for k, part in enumerate(cut.split(text)) for w in ([part] if k % 2 else WORD.findall(part))]
+def chunks(text: Column) -> Column:
+    """The text in pieces of about CHUNK characters, cut only between a word's end and white space."""
+    return F.when(F.octet_length(text) <= CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{{CHUNK}}}[{SPACE}]*+[^{SPACE}]++|.+"), F.lit(0)))
 
-    return words
 
+def words(text: Column, marks: list[str]) -> Column:
+    """The words of a text, in order; joined they are the text.
 
-def counted(path: str):
-    def run(batches: Batches) -> Batches:
-        words, count = splitter(path), Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                count.update(words(text or ""))
-                if len(count) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["word", "n"])
-                    count = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["word", "n"])
-
-    return run
+    A word is a run of other characters with the one blank before it; white space left over is a word too. The tokenizer never
+    merges across these borders, nor does a word's split depend on its neighbours, so ids of words in order are ids of the text.
+    The strings of added tokens stand alone, as the tokenizer looks for them first.
+    """
 
+    def all_of(pattern: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    plain = all_of(rf" ?[^{SPACE}]++|[{SPACE}]++(?![^{SPACE}])|[{SPACE}]+(?=[{SPACE}])|[{SPACE}]")
+    if not marks:
+        return plain
+    mark = "|".join(re.escape(m) for m in sorted(marks, key=len, reverse=True))
+    one = rf"(?:(?!{mark})[^{SPACE}])"
+    found = F.lit(False)
+    for m in marks:
+        found = found | F.contains(text, F.lit(m))
+    return F.when(found, all_of(rf"{mark}| ?{one}+|[{SPACE}]+(?!{one})|[{SPACE}]")).otherwise(plain)
+
+
+def planes(codes: np.ndarray) -> bytes:
+    """Codes as bytes, their lowest bytes first, so that files keep them small."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def pack(codes: np.ndarray, strings: pa.StringArray) -> bytes:
+    """Codes and their words as one compressed value."""
+    data = b"".join(x.encode() for x in strings.to_pylist())
+    lengths = pc.binary_length(strings).to_numpy()
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(codes)], "<u4").tobytes() + planes(codes) + planes(lengths) + data)
+
+
+def unpacked(batches: Batches) -> Batches:
+    """The rows (slice, code, word) that pack() put together."""
+    for batch in batches:
+        for name, blob in zip(batch.column("slice").to_pylist(), batch.column("codes")):
+            data = zstandard.ZstdDecompressor().decompress(blob.as_buffer())
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            codes, lengths = (from_planes(data[4 + 4 * n * k : 4 + 4 * n * (k + 1)]) for k in (0, 1))
+            cuts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            word = pa.StringArray.from_buffers(n, pa.py_buffer(cuts), pa.py_buffer(data[4 + 8 * n :]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(codes, pa.int32()), word], ["slice", "code", "word"])
+
+
+def spark_hash(strings: pa.StringArray, most: int = 4096) -> np.ndarray:
+    """What Spark's hash() gives strings of up to `most` bytes (32-bit Murmur3 with seed 42, the last bytes one by one)."""
+    offset = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = np.frombuffer(strings.buffers()[2], np.uint8) if strings.buffers()[2] is not None else np.zeros(0, np.uint8)
+    size, h = np.diff(offset), np.full(len(strings), 42, np.uint32)
+
+    def turned(x: np.ndarray, r: int) -> np.ndarray:
+        return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+
+    def mixed(at: np.ndarray, k: np.ndarray) -> None:
+        k = turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h[at] = turned(h[at] ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+
+    for k in range(min(int(size.max(initial=0)), most) // 4):
+        at = np.flatnonzero(size >= 4 * k + 4)
+        b = [data[offset[at] + 4 * k + j].astype(np.uint32) << np.uint32(8 * j) for j in range(4)]
+        mixed(at, b[0] | b[1] | b[2] | b[3])
+    for j in range(3):
+        at = np.flatnonzero(size % 4 > j)
+        mixed(at, data[offset[at] + size[at] // 4 * 4 + j].view(np.int8).astype(np.int32).view(np.uint32))
+    h ^= size.astype(np.uint32)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h.view(np.int32)
+
+
+def sliced(kind: pa.DataType, most: int, buckets: int):
+    """Slices of texts: a row "doc" for each piece of a text, its words as codes, and a row "words" for each bucket `at` that
+    Spark puts words of the slice in, packed with their codes (see pack()). A text with all its pieces stays in one slice."""
 
-def word_ids(path: str):
     def run(batches: Batches) -> Batches:
+        flats, counts, rows, size, done, at = [], [], [], 0, 0, -1
+
+        def closed() -> Batches:
+            name = (TaskContext.get().partitionId() << 32) + done
+            d = pa.chunked_array(flats, pa.string()).combine_chunks().dictionary_encode()
+            if isinstance(d, pa.ChunkedArray):
+                d = d.combine_chunks()
+            code = d.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(-np.bincount(code, minlength=len(d.dictionary)), kind="stable")  # frequent words get small codes
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            parts = np.split(rank[code], np.cumsum(np.concatenate(counts))[:-1])
+            table = pa.Table.from_batches(rows)
+            n = len(table)
+            columns = {"what": pa.array(["doc"] * n), "slice": pa.array(np.full(n, name)), **{c: table.column(c) for c in ("at", "part", "doc_id")}}
+            yield from pa.table(columns | {"codes": pa.array([planes(p) for p in parts], pa.binary())}).to_batches()
+            bucket = spark_hash(d.dictionary) % buckets
+            order = pc.sort_indices(d.dictionary).to_numpy()  # neighbours look alike, which keeps the shuffle small
+            order = order[np.argsort(bucket[order], kind="stable")]
+            b = bucket[order]
+            first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))[: len(b)]
+            held, codes = d.dictionary.take(pa.array(order)), rank[order]
+            blobs = [pack(codes[i:j], held.slice(i, j - i)) for i, j in zip(first, np.append(first[1:], len(b)))]
+            k = len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(["words"] * k), pa.array(np.full(k, name)), pa.array(b[first], pa.int64()), pa.array(np.zeros(k, np.int32)), pa.nulls(k, kind), pa.array(blobs, pa.binary())], [*columns, "codes"])
+
         for batch in batches:
-            ids = [e.ids for e in tokenizer(path).encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            part, octets = (np.asarray(batch.column(c)) for c in ("part", "octets"))
+            begin = 0
+            while begin < len(batch):
+                if part[begin] == 0 and size > most:
+                    yield from closed()
+                    flats, counts, rows, size, done = [], [], [], 0, done + 1
+                    at = -1
+                end = len(batch)
+                room = size + np.cumsum(octets[begin:])  # up to the first text that fills the slice
+                full = np.flatnonzero((room > most) & np.append(part[begin + 1 :] == 0, True))
+                if len(full):
+                    end = begin + int(full[0]) + 1
+                some = batch.slice(begin, end - begin)
+                texts = at + np.cumsum(part[begin:end] == 0)
+                at = int(texts[-1])
+                w = some.column("words")
+                flats.append(w.flatten())
+                counts.append(np.asarray(w.value_lengths()))
+                rows.append(pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), some.column("part"), some.column("doc_id")], ["at", "part", "doc_id"]))
+                size = int(room[end - begin - 1])
+                begin = end
+        if rows:
+            yield from closed()
 
     return run
 
 
-def head_words(docs: DataFrame, path: str, most: int) -> tuple[DataFrame, str]:
-    """(word, ids) of the words with at least 1 / `most` of all occurrences, at least two: never more than `most` of them."""
-    words = docs.select("text").mapInArrow(counted(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words, p = written(words, "bpe-words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    return words.where(F.col("n") >= max(2, -(-total // most))).select("word").mapInArrow(word_ids(path), "word string, ids array<int>"), p
-
-
-class WordTable:
-    """word -> its place among the ids of all words, for the words seen so far."""
+def encoder(path: str):
+    @F.arrow_udf("array<int>")
+    def encode(word: pa.Array) -> pa.Array:
+        ids = [e.ids for e in tokenizer(path).encode_batch_fast(word.to_pylist(), add_special_tokens=False)]
+        return pa.array(ids, pa.list_(pa.int32()))
 
-    def __init__(self, words: list[str], lengths: np.ndarray, flat: np.ndarray):
-        self.at = dict(zip(words, range(len(words))))
-        self.lengths, self.flat = lengths, flat
-        self.starts = np.cumsum(lengths) - lengths
-
-    def add(self, words: list[str], path: str) -> None:
-        ids = [e.ids for e in tokenizer(path).encode_batch(words, add_special_tokens=False)]
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.flat = np.concatenate((self.flat, np.fromiter((x for i in ids for x in i), np.int32, int(lengths.sum()))))
+    return encode
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pieces flat[start : start + length], one after the other."""
     ends = np.cumsum(lengths)
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    if not len(ends):
+        return flat[:0]
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(ends[-1])
+    return flat.take(at)
 
 
-def pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of every id: all in a row, starts, lengths. A byte-level vocabulary writes each byte as a printable character."""
+def pieces(path: str) -> pa.Table:
+    """(id, piece): the bytes of every id. A byte-level vocabulary writes each byte as a printable character."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-    t, vocab = tokenizer(path), tokenizer(path).get_vocab(with_added_tokens=True)
-    made, marks = [b""] * (max(vocab.values()) + 1), set(specials(path))
-    for piece, i in vocab.items():
-        made[i] = piece.encode() if piece in marks or any(c not in letters for c in piece) else bytes(letters[c] for c in piece)
-    del t
-    lengths = np.fromiter(map(len, made), np.int64, len(made))
-    return np.frombuffer(b"".join(made), np.uint8), np.cumsum(lengths) - lengths, lengths
-
-
-def coded(path: str, head, most_local: int, finish: Callable[[Batches], Batches] | None):
-    """Texts to (ids, decoded). Words of the head are looked up; the rest are encoded once for each task's own table."""
+    vocab, marks = tokenizer(path).get_vocab(with_added_tokens=True), set(specials(path))
+    made = [piece.encode() if piece in marks or any(c not in letters for c in piece) else bytes(letters[c] for c in piece) for piece in vocab]
+    return pa.table({"id": pa.array(vocab.values(), pa.int32()), "piece": pa.array(made, pa.binary())})
+
+
+def texts_of(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Strings from their bytes in a row; bytes that are not UTF-8 become replacement characters."""
+    out = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
+    return out
+
+
+def packed(most: int = 1 << 20):
+    """Rows of (slice, code, ids) with those of one slice together, as bytes: from about `most` rows at a time."""
+
+    def closed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        name, code = (t.column(c).to_numpy() for c in ("slice", "code"))
+        ids = pa.concat_arrays(t.column("ids").chunks)
+        length, flat = np.asarray(ids.value_lengths(), np.int64), np.asarray(ids.flatten())
+        order = np.lexsort((code, name))
+        flat, length, code, name = gather(flat, (np.cumsum(length) - length)[order], length[order]), length[order], code[order], name[order]
+        first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+        cuts, ends = first[1:], np.cumsum(length)
+        columns = [map(planes, x) for x in (np.split(code, cuts), np.split(length, cuts), np.split(flat, ends[cuts - 1]))]
+        return pa.RecordBatch.from_arrays([pa.array(name[first]), *(pa.array(list(c), pa.binary()) for c in columns)], ["slice", "code", "length", "ids"])
 
     def run(batches: Batches) -> Batches:
-        split, (bytes_, starts, lengths) = splitter(path), pieces(path)
-        table = fresh = lambda: WordTable(*head.value)
-        table = fresh()
+        held, n = [], 0
         for batch in batches:
-            at, n = 0, len(batch)
-            texts = batch.column(batch.num_columns - 1)
-            while at < n:
-                words, counts, size, begin = [], [], 0, at
-                while at < n and size < 1 << 20:
-                    text = texts[at].as_py() or ""
-                    w = split(text)
-                    words += w
-                    counts.append(len(w))
-                    size, at = size + len(text), at + 1
-                if len(table.at) > most_local:
-                    table = fresh()
-                code = np.fromiter(map(table.at.get, words, repeat(-1)), np.int64, len(words))
-                missing = np.flatnonzero(code < 0)
-                if len(missing):
-                    new = [words[i] for i in missing]
-                    table.add(list(dict.fromkeys(new)), path)
-                    code[missing] = np.fromiter(map(table.at.__getitem__, new), np.int64, len(new))
-                tokens = table.lengths[code]
-                ids = gather(table.flat, table.starts[code], tokens)
-                ends = np.concatenate(([0], np.cumsum(tokens)))[np.concatenate(([0], np.cumsum(counts)))]
-                text = gather(bytes_, starts[ids], lengths[ids])
-                cuts = np.concatenate(([0], np.cumsum(lengths[ids])))[ends]
-                decoded = [text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
-                out = batch.slice(begin, at - begin)
-                yield pa.RecordBatch.from_arrays(
-                    [*(out.column(k) for k in range(out.num_columns - 1)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())],
-                    [*out.schema.names[:-1], "ids", "decoded"],
-                )
-
-    return (lambda batches: finish(run(batches))) if finish else run
-
-
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, finish: Callable[[Batches], Batches] | None = None, finish_schema: str = "", most_head: int = 1 << 20, most_local: int = 150_000) -> DataFrame:
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n > most:
+                yield closed(held)
+                held, n = [], 0
+        if held:
+            yield closed(held)
+
+    return run
+
+
+def assembled(path: str, out: pa.Schema, finish: Callable[[Batches], Batches] | None, words_each: int = 1 << 19):
+    """Of one slice: its texts' codes and its words' ids become (doc_id, ids, decoded)."""
+
+    def solve(texts: pa.Table, found: pa.Table) -> Batches:
+        texts = texts.sort_by([("at", "ascending"), ("part", "ascending")]).combine_chunks()
+        code, length, flat = (np.concatenate([np.zeros(0, np.int64), *map(from_planes, found.column(c).to_pylist())]) for c in ("code", "length", "ids"))
+        order = np.argsort(code)
+        if len(code) and not (code[order] == np.arange(len(code))).all():
+            raise ValueError("a slice's words and their ids don't agree")
+        begin = (np.cumsum(length) - length)[order]
+        length = length[order]
+        # the pieces of the slice's ids
+        used = np.flatnonzero(np.bincount(flat))
+        joined = pa.table({"id": pa.array(used, pa.int32())}).join(pieces(path), "id", use_threads=False).sort_by("id")
+        if joined.column("piece").null_count:
+            raise ValueError("the vocabulary lacks an id of its own tokenizer")
+        place = np.searchsorted(used, flat)
+        piece = joined.column("piece").to_pylist()
+        bytes_ = np.frombuffer(b"".join(piece), np.uint8)
+        piece_length = np.fromiter(map(len, piece), np.int64, len(piece))
+        piece_start = np.cumsum(piece_length) - piece_length
+        at, blobs = texts.column("at").to_numpy(), texts.column("codes").to_pylist()
+        sizes = np.array([len(b) // 4 for b in blobs], np.int64)
+        fresh = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))  # the first piece of each text
+        per = np.add.reduceat(sizes, fresh)
+        group = np.cumsum(per) // words_each
+        for g in np.unique(group):
+            mine = np.flatnonzero(group == g)
+            lo, hi = fresh[mine[0]], fresh[mine[-1] + 1] if mine[-1] + 1 < len(fresh) else len(at)
+            codes = np.concatenate([from_planes(b) for b in blobs[lo:hi]])
+            tokens = length[codes]
+            where = gather(place, begin[codes], tokens)
+            ends = np.concatenate(([0], np.cumsum(tokens)))[np.concatenate(([0], np.cumsum(per[mine])))]
+            data = gather(bytes_, piece_start[where], piece_length[where])
+            cuts = np.concatenate(([0], np.cumsum(piece_length[where])))[ends]
+            yield pa.RecordBatch.from_arrays(
+                [texts.column("doc_id").take(pa.array(fresh[mine])).combine_chunks(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(used[where], pa.int32())), texts_of(data, cuts)],
+                ["doc_id", "ids", "decoded"],
+            )
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        got = solve(texts, found) if len(texts) else iter(())
+        return pa.Table.from_batches(list(finish(got) if finish else got), out)
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, finish: Callable[[Batches], Batches] | None = None, finish_schema: str = "", slice_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) for every row: the ids that the tokenizer of `path` gives the whole text
     without special tokens added (their strings in a text do become their ids), and the text that these ids decode to.
 
-    The words of all documents are counted; those with at least 1 / most_head of all occurrences (so at most most_head, a
-    proven bound) are encoded once and broadcast. A task encodes each other word it meets once, and forgets its own words
-    beyond most_local. So no text and no occurrence of a word is shuffled, only distinct words with their counts.
+    1. Spark splits the texts into words. Slices of about slice_bytes bytes keep each distinct word once, and texts as the words'
+       places in their slice; so no occurrence of a word is shuffled, and a frequent word has a row a slice.
+    2. The slices' words are bucketed by word. The distinct words of a bucket are encoded, each once, and joined back to the
+       slices' places; neither needs a shuffle.
+    3. The ids go back to their slices by a shuffle, the texts stay where the slices were bucketed. The ids of a slice are
+       joined to their pieces, and texts are put together by place.
+
     Null text counts as empty: no ids, "". Repeated rows and null ids are kept; an empty table gives no rows; other columns
-    are not looked at. `finish` turns the batches into others of `finish_schema` in the same Python stage.
+    are not looked at. Long texts are split in pieces, but all pieces of a text meet in one task at the end. `finish` turns
+    batches of (doc_id, ids, decoded) into others of doc_id and `finish_schema` in the same Python stage. The result is
+    written; tables on the way are deleted.
     """
-    spark: SparkSession = docs.sparkSession
+    from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+    spark = docs.sparkSession
     path = path or default_path()
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
     rows = only(docs, doc_id=id_col, text=text_col)
-    found, _ = head_words(rows, path, most_head)
-    found = found.toArrow()
-    ids = pa.array([], pa.list_(pa.int32())) if not found.num_rows else found.column("ids").combine_chunks()
-    head = (found.column("word").to_pylist(), np.asarray(ids.value_lengths(), np.int64), np.asarray(ids.flatten(), np.int32))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names, base = {k: f"tessera_{k}_{uuid.uuid4().hex}" for k in ("slices", "words", "table")}, shared_dir(spark)
+
+    def saved(df: DataFrame, name: str, by: str, *folders: str) -> DataFrame:
+        """The table, bucketed in the shared folder, so that neither join nor grouping by the column shuffles it again."""
+        writer = df.write.option("compression", "zstd").option("path", f"{base}/{names[name]}").bucketBy(n, by).sortBy(by)
+        with shuffles_deleted(spark):
+            (writer.partitionBy(*folders) if folders else writer).saveAsTable(names[name])
+        return spark.table(names[name])
+
+    marks = specials(path)
+    whole = any(re.search(r"\s", m) for m in marks)  # such a mark must not be cut
+    text = F.coalesce(F.col("text"), F.lit(""))
+    split = rows.select("doc_id", F.posexplode(F.array(text) if whole else chunks(text)).alias("part", "text")).select("doc_id", "part", F.octet_length("text").alias("octets"), words(F.col("text"), marks).alias("words"))
+    arrow = to_arrow_schema(rows.select("doc_id").schema).field(0).type
+    slices = saved(split.mapInArrow(sliced(arrow, slice_bytes, n), f"what string, slice long, at long, part int, doc_id {kind}, codes binary"), "slices", "slice", "what")
+    places = slices.where("what = 'words'").select("slice", F.col("at").cast("int").alias("at"), "codes").repartitionById(n, F.col("at"))
+    places = places.select("slice", "codes").mapInArrow(unpacked, "slice long, code int, word string")
+    places = saved(places, "words", "word")
+    removed(spark, f"{base}/{names['slices']}/what=words")
+    saved(places.select("word").distinct().withColumn("ids", encoder(path)("word")), "table", "word")
+    found = places.hint("merge").join(spark.table(names["table"]), "word").select("slice", "code", "ids").mapInArrow(packed(), "slice long, code binary, length binary, ids binary")
+    texts = spark.table(names["slices"]).where("what = 'doc'").select("slice", "at", "part", "doc_id", "codes")
     schema = f"doc_id {kind}, " + (finish_schema or "ids array<int>, decoded string")
-    return rows.mapInArrow(coded(path, spark.sparkContext.broadcast(head), most_local, finish), schema)
+    shape = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    out, _ = written(texts.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(assembled(path, shape, finish), from_arrow_schema(shape)), "bpe-out")
+    for name in names.values():
+        spark.sql(f"DROP TABLE {name}")
+        removed(spark, f"{base}/{name}")
+    return out

@@ -26,8 +26,8 @@ def token_digests(batches: Batches) -> Batches:
     for batch in batches:
         ids = batch.column("ids")
         flat, off = np.asarray(ids.values).astype("<u4"), np.asarray(ids.offsets)
-        sums = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(off[:-1], off[1:])]
-        back = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column("decoded")]
+        sums = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:])]
+        back = [hashlib.sha256(t.as_buffer()).hexdigest() for t in batch.column("decoded")]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array(sums), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 

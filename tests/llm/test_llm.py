@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,12 +68,27 @@ def test_bpe(docs, odd):
 
     t = Tokenizer.from_file(bpe.default_path())
     df = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).union(docs.sparkSession.createDataFrame([(9, "a<|endoftext|>b  <|end \n x")], "doc_id long, text string"))
-    out = bpe.round_trip(df, most_local=50)
+    out = bpe.round_trip(df, slice_bytes=3000)
     want = collections.Counter((d, tuple(t.encode(x or "", add_special_tokens=False).ids), x or "") for d, x in texts(df))
     assert collections.Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in out.collect()) == want
     assert bpe.round_trip(odd.limit(0)).count() == 0
 
 
+def test_bpe_words_and_buckets(spark):
+    """Words of odd white space and long texts in pieces give the tokenizer's ids; buckets are those of Spark."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    some = [*"ab'<|>\n\t   \u0085é日😀12.,", "<|endoftext|>", "  ", "\r\n", "don't", " <|"]
+    rows = [(k, "".join(rng.choice(some) for _ in range(rng.randrange(40)))) for k in range(2000)] + [(5000, "ab cd  " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    t = Tokenizer.from_file(bpe.default_path())
+    want = {d: (t.encode(x, add_special_tokens=False).ids, x) for d, x in rows}
+    assert {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.round_trip(df, slice_bytes=20_000).collect()} == want
+    parts = sorted({w for _, x in rows for w in x.split(" ")})
+    assert [r[0] for r in spark.createDataFrame([(w,) for w in parts], "w string").select(F.hash("w")).collect()] == bpe.spark_hash(pa.array(parts)).tolist()
+
+
 def test_licenses(odd, spark):
     text = "Header.\nPermission to use.\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nReleased under the MIT License. Released under the MIT License!"
     df = spark.createDataFrame([(1, text), (2, "All rights reserved"), (2, "All rights reserved"), (None, "licensed under CC BY 4.0."), (3, "MIT License")], "doc_id long, text string")
