@@ -158,7 +158,7 @@ def sliced(kind: pa.DataType, most: int, buckets: int):
             held, codes = d.dictionary.take(pa.array(order)), rank[order]
             blobs = [pack(codes[i:j], held.slice(i, j - i)) for i, j in zip(first, np.append(first[1:], len(b)))]
             k = len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(["words"] * k), pa.array(np.full(k, name)), pa.array(b[first], pa.int64()), pa.array(np.zeros(k, np.int32)), pa.nulls(k, kind), pa.array(blobs, pa.binary())], [*columns, "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(["words"] * k, pa.string()), pa.array(np.full(k, name)), pa.array(b[first], pa.int64()), pa.array(np.zeros(k, np.int32)), pa.nulls(k, kind), pa.array(blobs, pa.binary())], [*columns, "codes"])
 
         for batch in batches:
             part, octets = (np.asarray(batch.column(c)) for c in ("part", "octets"))
@@ -298,7 +298,8 @@ def assembled(path: str, out: pa.Schema, finish: Callable[[Batches], Batches] |
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         got = solve(texts, found) if len(texts) else iter(())
-        return pa.Table.from_batches(list(finish(got) if finish else got), out)
+        batches = list(finish(got) if finish else got)
+        return pa.Table.from_batches(batches).cast(out) if batches else out.empty_table()
 
     return run
 
