@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, removed, written
+from tessera.llm.common import only, removed, row_key, written
 
 SHINGLE = 5
 BITS = 64
@@ -39,7 +39,7 @@ def blocks(radius: int) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, num: int = 80, den: int = 100, radius: int = 21, broadcast_rows: int = 1 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, num: int = 80, den: int = 100, radius: int = 27, broadcast_rows: int = 1 << 20, row_keys: bool = False) -> DataFrame:
     """(doc_id, item_id, start_word, similarity): a row for every document and benchmark item that it holds.
 
     A document holds an item where a window of as many words as the item has den * |shared| >= num * |union|, both counted over
@@ -47,8 +47,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     with fewer shared shingles than the similarity needs even if each counts; so the order of an item's parts does not matter.
     start_word and similarity are those of the best; of equals the first at which a shared shingle stands in the same place of
     window and item, or the first if there is none. Such a pair has a SimHash distance of about 10 of 64 bits at 0.8, with a spread of 3;
-    `radius` is 4 spreads above. Only built-in functions. What is broadcast (the items' shingles, the windows' rows) is counted
-    before; beyond broadcast_rows rows Spark joins it otherwise.
+    `radius` is more than 5 spreads above, which is no proof that no pair is lost (the tests measure it). Only built-in functions. What is broadcast (the items' shingles, the windows' rows) is counted
+    before; beyond broadcast_rows rows Spark joins it otherwise. With `row_keys` the distinct (r1, r2) of the rows that hold an
+    item instead (see row_key()).
 
     Null, empty and wordless texts and items hold nothing; repeated rows (equal in id and text) give their rows once, as do
     items of one id and text; null ids stay null; an empty table gives no rows; other columns are not looked at.
@@ -61,10 +62,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = only(benchmark, item_id=item_col, text=item_text).select("item_id", F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0").dropDuplicates(["item_id", "item"])
     items = items.withColumns({"n": F.size("w"), "size": F.least(F.size("w"), F.lit(SHINGLE))})
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
-    rows = only(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("r", F.xxhash64("doc_id", "text"))
-    empty = spark.createDataFrame([], "doc_id long, item_id long, start_word long, similarity double")
+    rows = only(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("r", F.struct(*row_key()))
     if not sizes:
-        return empty
+        return spark.createDataFrame([], "r1 long, r2 long" if row_keys else "doc_id long, item_id long, start_word long, similarity double")
     parts = [items.where(F.col("size") == k).select("item_id", "item", "n", "size", F.posexplode(shingle_hashes(F.col("w"), k)).alias("offset", "h")) for k in sizes]
     shingles, p_shingles = written(_union(parts), "decon-items")
     lookup = hinted(shingles.select("h", "item", "n", "size", "offset").distinct())
@@ -99,9 +99,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counts, p_counts = written(_union(cut).groupBy(*key, "h").agg(F.count("*").alias("c")), "decon-counts")
     item_counts = shingles.groupBy("item_id", "item", "n", "size", "h").agg(F.count("*").alias("c"))
     item_key = ["item_id", "item", "n", "size"]
-    near = fingerprint(counts, key).withColumn("x", F.explode(blocks(radius))).select(*key, "print", "x.*")
+    # a window is compared with the items whose shared shingles it was taken for: it shares too few with all others
+    near = fingerprint(counts, key).join(windows.select(*key, "item").distinct(), key).withColumn("x", F.explode(blocks(radius))).select(*key, "item", "print", "x.*")
     item_near = fingerprint(item_counts, item_key).withColumn("x", F.explode(blocks(radius))).select(*item_key, F.col("print").alias("item_print"), "x.*")
-    pairs = near.join(hinted(item_near), ["n", "size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    pairs = near.join(hinted(item_near), ["item", "n", "size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     pairs, p_pairs = written(pairs.select(*key, "item_id", "item").distinct(), "decon-pairs")
     weights = counts.groupBy(*key).agg(F.sum("c").alias("total")).join(pairs, key)
     weights = weights.join(hinted(item_counts.groupBy(*item_key).agg(F.sum("c").alias("item_total"))).drop("item_id"), ["item", "n", "size"])
@@ -111,9 +112,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     joined = shared.alias("a").join(weights.alias("b"), _all([F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*key, "item_id", "item"]])).select("a.*", "b.total", "b.item_total")
     union = F.col("total") + F.col("item_total") - F.col("both")
     best = F.max_by(F.struct((F.col("both") / union).alias("similarity"), F.col("start").cast("long").alias("start_word")), F.struct(F.col("both") / union, F.coalesce("aligned", F.lit(False)), -F.col("start")))
+    joined = joined.where(F.col("both") * den >= union * num)
+    if row_keys:
+        found, _ = written(joined.select("r.r1", "r.r2").distinct(), "decon-found")
+        removed(spark, p_shingles, p_windows, p_counts, p_pairs)
+        return found
     joined = joined.join(windows.select("r", "doc_id").distinct(), "r")
     joined = joined.join(windows.select("r", "item", "start", "aligned").distinct(), ["r", "item", "start"], "left")
-    found = joined.where(F.col("both") * den >= union * num).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.start_word", "b.similarity")
+    found = joined.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.start_word", "b.similarity")
     found, _ = written(found, "decon-found")
     removed(spark, p_shingles, p_windows, p_counts, p_pairs)
     return found

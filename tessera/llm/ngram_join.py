@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import POWERS, classes, lists, mix, only, removed, signed, text_views, written
+from tessera.llm.common import classes, lists, mix, only, removed, row_key, signed, text_views, written
 
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[9, 10, 11, 12, 13, 32]] = False
@@ -20,16 +20,48 @@ LOWER[65:91] += 32
 SPREAD = 3
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, in order; a word is a run of bytes other than ASCII white space, A-Z lower-cased."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = WORD_BYTES[data]
-    edges = np.flatnonzero(np.diff(inside))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = POWERS.upto(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+LOWER_VALUE = LOWER.astype(np.uint64) + np.uint64(1)
+#: Multipliers of the bytes of a word by their place in it: odd and unrelated, so no pattern of bytes cancels out.
+PLACE = mix(np.arange(4096, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+
+
+def place_keys(place: np.ndarray) -> np.ndarray:
+    if not len(place) or place.max() < len(PLACE):
+        return PLACE.take(place)
+    return mix(place.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+
+
+def word_hashes(data: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word, in order; a word is a run of bytes other than ASCII white space, A-Z lower-cased.
+
+    The sum of a word's bytes, each times the key of its place. Long texts go chunk by chunk; what a chunk's last word has so
+    far is carried into the next.
+    """
+    out, held, size = [], np.uint64(0), 0
+    for begin in range(0, len(data), chunk):
+        part = data[begin : begin + chunk]
+        inside = np.zeros(len(part) + 2, np.int8)
+        inside[1:-1] = WORD_BYTES[part]
+        edges = np.flatnonzero(np.diff(inside))
+        lengths = edges[1::2] - edges[::2]
+        total = lengths.copy()
+        if size and not inside[1]:  # the carried word ended with the chunk before
+            out.append(mix(np.array([held + np.uint64(size)])))
+            held, size = np.uint64(0), 0
+        if not len(lengths):
+            continue
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+        place[: lengths[0]] += size
+        sums = np.add.reduceat(place_keys(place) * LOWER_VALUE.take(part[inside[1:-1].view(bool)]), first)
+        sums[0] += held
+        total[0] += size
+        held, size = np.uint64(0), 0
+        if inside[-2] and begin + chunk < len(data):
+            held, size = sums[-1], int(total[-1])
+            sums, total = sums[:-1], total[:-1]
+        out.append(mix(sums + total.astype(np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingle_set(data: np.ndarray, n: int) -> np.ndarray:
@@ -132,8 +164,8 @@ def tagged(n: int, num: int, den: int):
                     seen.add((a, b))
                     sizes.append(len(h)), f1.append(a), f2.append(b), keys.append(k)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("r"), pa.array(sizes, pa.int64()), signed(np.array(f1, np.uint64)), signed(np.array(f2, np.uint64)), lists(np.concatenate(keys), list(map(len, keys)))],
-                    ["doc_id", "r", "n", "f1", "f2", "keys"],
+                    [rows.column("doc_id"), rows.column("r"), rows.column("r2"), pa.array(sizes, pa.int64()), signed(np.array(f1, np.uint64)), signed(np.array(f2, np.uint64)), lists(np.concatenate(keys), list(map(len, keys)))],
+                    ["doc_id", "r", "r2", "n", "f1", "f2", "keys"],
                 )
 
     return run
@@ -164,6 +196,8 @@ def sets(n: int, each: int, whole: bool):
         for batch in batches:
             for rows, data, off in text_views(batch):
                 got = [shingle_set(data[off[i] : off[i + 1]], n) for i in range(len(rows))]
+                own = np.flatnonzero(np.array([prints(h)[0] for h in got], np.uint64).view(np.int64) == np.asarray(rows.column("f1")))
+                rows, got = rows.take(pa.array(own)), [got[i] for i in own]  # not rows whose key is the same by chance
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(c) for c in ("f1", "node", "n")), pa.array([bitmap(h, each).tobytes() for h in got], pa.binary()), *([pa.array([h.tobytes() for h in got], pa.binary())] if whole else [])],
                     ["f1", "node", "n", "m", *(["h"] if whole else [])],
@@ -248,7 +282,7 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits_each: int = 2, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = 1 << 20) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits_each: int = 2, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = 1 << 20, row_keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the class of documents that chains of links reach.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of n-word shingles. Hashes stand for shingles.
@@ -263,13 +297,18 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
 
     Null or wordless texts: size 0, linked with nothing, component_id their own id. Null ids: the row counts, but gives no
     component_id; a class of null ids only has a null one. Repeated rows and ties: equal sets are one class. An empty table
-    gives no rows. Other columns are not looked at, whatever their names.
+    gives no rows. Other columns are not looked at, whatever their names. With `row_keys` also r1 and r2, which name a row by
+    id and text (see row_key()), and `stays`: true for the row of each class that has the least id (nulls last, then the least
+    key), for all rows equal to it, and for all rows of size 0.
     """
     spark = docs.sparkSession
-    rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("r", F.xxhash64("doc_id", "text"))
-    full, p_full = written(rows.mapInArrow(tagged(n, num, den), "doc_id long, r long, n long, f1 long, f2 long, keys array<long>"), "ngram-keys")
+    r, r2 = row_key()
+    rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumns({"r": r, "r2": r2})
+    full, p_full = written(rows.mapInArrow(tagged(n, num, den), "doc_id long, r long, r2 long, n long, f1 long, f2 long, keys array<long>"), "ngram-keys")
     base, _ = written(full.drop("keys"), "ngram-sets")
-    reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("r").alias("r"), F.first("n").alias("n")).withColumn("node", F.expr("coalesce(rep, -1 - (r & 9223372036854775807))"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r", "r2")  # the row that stands for others
+    reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min(first).alias("first"), F.first("n").alias("n"))
+    reps = reps.select("f1", "f2", "n", "first", "first.r", F.expr("coalesce(first.doc_id, -1 - (first.r & 9223372036854775807))").alias("node"))
     keys = full.where(F.size("keys") > 0).select("f1", F.explode("keys").alias("key"))
     live, p_live = written(keys.repartition("key").sortWithinPartitions("key", "f1").mapInArrow(live_runs, "key long, lead long, f1 long"), "ngram-live")
     removed(spark, p_full)
@@ -316,8 +355,10 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
         paths += [p_placed, p_all]
     joined = classes(edges, "ngram-classes")
     named = reps.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    names, _ = written(named.select("f1", "f2", "comp").join(least, "comp").select("f1", "f2", "component_id"), "ngram-names")
+    least = named.groupBy("comp").agg(F.min("first").alias("top"))
+    names, _ = written(named.select("f1", "f2", "comp").join(least, "comp").select("f1", "f2", "top"), "ngram-names")
     removed(spark, p_held, *paths)
-    out = base.select("doc_id", "n", "f1", "f2").join(names, ["f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = base.select("doc_id", "r", "r2", "n", "f1", "f2").join(names, ["f1", "f2"], "left")
+    stays = (F.col("n") == 0) | (F.col("r").eqNullSafe(F.col("top.r")) & F.col("r2").eqNullSafe(F.col("top.r2")))
+    shown = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    return out.select(*shown, *([F.col("r").alias("r1"), "r2", stays.alias("stays")] if row_keys else []))

@@ -63,6 +63,20 @@ def test_ngram_join(docs, odd, n, num, more):
     assert ngram_join.near_classes(odd.limit(0)).count() == 0
 
 
+def test_word_hashes():
+    """Chunks don't change hashes; words that differ in a pattern which polynomials lose have different ones."""
+    text = ("One  tWo\nthree " * 30 + "x" * 5000 + " é end").encode()
+    data = np.frombuffer(text, np.uint8)
+    want = ngram_join.word_hashes(data)
+    assert len(want) == 93 and len(set(want.tolist())) == 6 and want[0] == ngram_join.word_hashes(np.frombuffer(b"oNE", np.uint8))[0]
+    for chunk in (1, 2, 3, 7, 64, 4999):
+        assert (ngram_join.word_hashes(data, chunk) == want).all()
+    morse = "a"
+    while len(morse) < 2048:
+        morse += morse.translate({97: 98, 98: 97})
+    assert len(set(ngram_join.word_hashes(np.frombuffer((morse + " " + morse.translate({97: 98, 98: 97})).encode(), np.uint8)).tolist())) == 2
+
+
 def test_bpe(docs, odd):
     from tokenizers import Tokenizer
 
@@ -151,6 +165,19 @@ def test_decontaminate_finds_reordered_items(spark):
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, bench).collect()} == want and (15, 0) in want
 
 
+def test_radius_loses_no_pair(spark):
+    """Distances of windows and items of similarity just over 0.8, at several lengths: none above the radius."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(1500):
+        n = int(rng.choice([9, 20, 60, 200]))
+        most = int(0.2 / 1.8 * n)  # of each side's own shingles
+        ids = rng.integers(0, 1 << 62, n + most)
+        rows += [(k, side, int(h), 1) for side, hs in (("a", ids[:n]), ("b", ids[most:])) for h in hs]
+    prints = decontaminate.fingerprint(spark.createDataFrame(rows, "k long, side string, v long, c long").withColumn("h", F.xxhash64("v")), ["k", "side"])
+    far = prints.where("side = 'a'").select("k", F.col("print").alias("p")).join(prints.where("side = 'b'"), "k").select(F.max(F.bit_count(F.col("p").bitwiseXOR(F.col("print"))))).first()[0]
+    assert 12 < far <= 27
+
+
 def test_learnt_scores(spark, docs, odd):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -265,6 +292,22 @@ def test_pipeline(spark, docs, tmp_path):
     clean = stage["leaks"](spark, docs, SMALL)
     hits = {r[0] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).select("doc_id").collect()}
     assert {r[0] for r in clean.select("doc_id").collect()} == {d for d, _ in texts(docs)} - hits
+    # rows without an id, repeated rows, and columns with names that stages use inside
+    names = ("kept", "starts", "ends", "n_bytes", "r1", "r2", "stays", "__r1", "c0", "words")
+    first = docs.join(decontaminate.contaminated(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")), "doc_id", "left_anti").where("n_chars > 400").select(docs.columns).limit(3)
+    leak = docs.where(F.col("doc_id") == min(hits)).withColumn("doc_id", F.lit(None).cast("long"))
+    none = first.withColumn("doc_id", F.lit(None).cast("long"))
+    edge = first.union(first).union(none).union(leak).union(spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0)], docs.schema))
+    edge = edge.select("*", *(F.lit(5).alias(c) for c in names))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, edge, SMALL).columns == edge.columns and f(spark, edge.limit(0), SMALL).count() == 0, name
+    kept = stage["near_copies"](spark, edge, SMALL)
+    ids = sorted(r[0] for r in kept.where("n_chars > 0").collect() if r[0] is not None)
+    assert len(ids) == len(set(ids)) >= 1 and kept.where("coalesce(text, '') = ''").count() == 2 and kept.where("doc_id is null and text is not null").count() == 1
+    assert stage["repeated_passages"](spark, edge, SMALL).count() == edge.count()
+    clean = stage["leaks"](spark, edge, SMALL)
+    assert clean.count() == edge.count() - 1
+    assert stage["tokens"](spark, edge, SMALL).count() == edge.count()
     last = corpus_pipeline.run(spark, SMALL)
     assert set(last.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and 0 < last.count() <= docs.count()
 
