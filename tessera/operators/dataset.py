@@ -10,18 +10,19 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from tessera.functions.order import columns_geq, columns_gt, columns_leq, columns_lt, ordinal, sort_partitions
-from tessera.plans.division import key_counts, key_divisions, row_divisions, row_parts
+from tessera.functions.order import columns_geq, columns_gt, columns_leq, columns_lt, instant, lex_cmp, ordinal, sort_partitions
+from tessera.plans.division import key_counts, key_divisions, row_divisions, row_numbers
 from tessera.plans.layout import Layout
 from tessera.plans.stats import partition_stats
 from tessera.progress import Progress, workers
-from tessera.sources.parquet import ORD, PID, write_dataset
+from tessera.sources.parquet import ORD, ORDER, PID, write_dataset
 
 INCLUSIVE = {"none": (False, False), "lower": (True, False), "upper": (False, True), "both": (True, True)}
 PRESERVES = ("none", "sizes", "bounds", "all")
@@ -77,10 +78,8 @@ class Dataset:
     def collect(self, parallel=False, progress=False) -> pa.Table:
         """All rows on the driver, in order of partitions and rows (runs a job)."""
         workers(parallel)
-        steps = Progress(progress, 1)
-        out = self._df.orderBy(PID, ORD).drop(PID, ORD).toArrow()
-        steps.step()
-        return out
+        with Progress(self._spark, progress):
+            return self._df.orderBy(PID, ORD).drop(PID, ORD).toArrow()
 
     def is_disjoint(self) -> bool:
         """Whether the partitions' index ranges don't overlap. StatsUnknownError without bounds."""
@@ -88,7 +87,7 @@ class Dataset:
 
     def assert_disjoint(self) -> "Dataset":
         if not self.is_disjoint():
-            raise AssertionError("Partitions are not disjoint.")
+            raise AssertionError("the index ranges of some partitions overlap")
         return self
 
     def rename(self, mapping: dict[str, str]) -> "Dataset":
@@ -106,7 +105,8 @@ class Dataset:
         if inclusive not in INCLUSIVE:
             raise ValueError(f"inclusive must be one of {', '.join(INCLUSIVE)}")
         bound = lambda b: None if b is None else tuple(b) if isinstance(b, (tuple, list)) else (b,)
-        lb, ub = bound(lb), bound(ub)
+        kinds = self._types(self.index_columns)
+        lb, ub = (b if b is None or len(b) > len(kinds) else tuple(map(instant, b, kinds)) for b in (bound(lb), bound(ub)))
         if any(b is not None and len(b) > len(self.index_columns) for b in (lb, ub)):
             raise ValueError("a bound has more values than there are index columns")
         low, up = INCLUSIVE[inclusive]
@@ -124,7 +124,6 @@ class Dataset:
         """Set the index columns and find sizes and bounds. Runs no job where they are known or the new index is a prefix of
         the old one; else one aggregate, after which partitions without rows are gone."""
         workers(parallel)
-        steps = Progress(progress, 1)
         index = self.index_columns if index_columns is None else _names(index_columns)
         lay = self._layout
         if index == lay.index_columns and lay.known_bounds and (lay.sizes is not None or not collect_stats):
@@ -134,8 +133,8 @@ class Dataset:
         if not collect_stats:
             return Dataset(self._df, lay.without_bounds(index))
         Dataset(self._df, lay.without_bounds(index))  # checks the names
-        stats = partition_stats(self._df, PID, index)
-        steps.step()
+        with Progress(self._spark, progress):
+            stats = partition_stats(self._df, PID, index)
         return Dataset(_picked(self._df, [s[0] for s in stats], len(self)), Layout(len(stats), index, *(tuple(s[k] for s in stats) for k in (1, 2, 3))))
 
     def collate(self, rows_per_partition: int) -> "Dataset":
@@ -144,7 +143,7 @@ class Dataset:
         order = [p for b in batches for p in b]
         place = {p: (k, i) for k, b in enumerate(batches) for i, p in enumerate(b)}
         rank = _mapped({p: i for i, p in enumerate(order)})
-        df = self._df.withColumns({ORD: (rank.cast("long") * (1 << 44)) + F.col(ORD) % (1 << 44), PID: _mapped({p: k for p, (k, _) in place.items()})}) if batches else self._df
+        df = self._df.withColumns({ORD: _before(rank), PID: _mapped({p: k for p, (k, _) in place.items()})}) if batches else self._df
         return Dataset(df, self._layout.merged(batches))
 
     def map(self, func: Callable, extra_args: Sequence[Sequence] | None = None, shared_args: Sequence = (), index_columns=None, schema=None, preserves: str = "none", rowwise: bool = True) -> "Dataset":
@@ -184,22 +183,19 @@ class Dataset:
         if kind is None:
             kind = from_arrow_schema(func(blank, *args(0)).schema, prefer_timestamp_ntz=True) if len(self) else self._public
         _check_hidden(kind.names)
-        out = T.StructType([*kind.fields, T.StructField(PID, T.IntegerType()), T.StructField(ORD, T.LongType())])
+        out = T.StructType([*kind.fields, T.StructField(PID, T.IntegerType()), T.StructField(ORD, ORDER)])
         arrow = to_arrow_schema(kind)
 
         def run(table: pa.Table) -> pa.Table:
             p = table.column(PID)[0].as_py()
-            got = func(table.sort_by(ORD).drop_columns([PID, ORD]), *args(p))
-            got = got.select(arrow.names).cast(arrow)
-            return got.append_column(PID, pa.array([p] * len(got), pa.int32())).append_column(ORD, pa.array(range(len(got)), pa.int64()))
+            return _hidden(func(table.take(_sorted(table.column(ORD))).drop_columns([PID, ORD]), *args(p)).select(arrow.names).cast(arrow), p)
 
         df = self._df.groupBy(PID).applyInArrow(run, out)
         empty = [p for p, n in enumerate(self.sizes or ()) if not n]  # a group without rows is never called by Spark
         rows = [(func(blank, *args(p)), p) for p in empty]
         rows = [(t.select(arrow.names).cast(arrow), p) for t, p in rows if len(t)]
         for t, p in rows:
-            made = self._spark.createDataFrame(t.append_column(PID, pa.array([p] * len(t), pa.int32())).append_column(ORD, pa.array(range(len(t)), pa.int64())))
-            df = df.unionByName(made)
+            df = df.unionByName(self._spark.createDataFrame(_hidden(t, p)))
         return df
 
     def join(self, other: "Dataset", how: str = "inner") -> "Dataset":
@@ -222,7 +218,7 @@ class Dataset:
             raise ValueError(f"columns on both sides: {', '.join(sorted(clash))}")
         both = [*self._layout.lower, *other._layout.lower]
         divisions = [both[i] for i in sort_partitions(both, both)]
-        divisions = [d for k, d in enumerate(divisions) if not k or d != divisions[k - 1]]
+        divisions = [d for k, d in enumerate(divisions) if not k or lex_cmp(d, divisions[k - 1])]
         left = self._df.drop(PID, ORD).withColumn("__l", F.lit(True))
         right = other._df.drop(PID, ORD).withColumnsRenamed({c: f"__r_{k}" for k, c in enumerate(index)})
         on = reduce(lambda a, b: a & b, (left[c] == right[f"__r_{k}"] for k, c in enumerate(index)))
@@ -232,37 +228,37 @@ class Dataset:
         shown = [F.col(f"`{c}`") for c in [*self.schema, *rest]]
         if how == "full":
             shown += [F.col(f"__r_{k}").alias(right_keys[c]) for k, c in enumerate(index)]
-        return Dataset(df.select(*shown, pid.alias(PID), F.monotonically_increasing_id().alias(ORD)), Layout(len(divisions) + 1, index))
+        return Dataset(df.select(*shown, pid.alias(PID), F.array(F.monotonically_increasing_id()).alias(ORD)), Layout(len(divisions) + 1, index))
 
     def repartition(self, rows_per_partition: int, index_columns=None, sample_fraction: float = 1.0, parallel=False, progress=False, base_seed: int = 10, seed_increment: int = 10) -> "Dataset":
         """Rebalance (runs a job). With an index: ranges of keys of about rows_per_partition rows, equal keys together, from
         the counts of all keys or of those of a sample; sizes and bounds are known where all rows were counted. Without: exact
         chunks of rows in their order."""
         workers(parallel)
-        steps = Progress(progress, 1)
         if rows_per_partition < 1:
             raise ValueError("rows_per_partition must be positive")
         index = self.index_columns if index_columns is None else _names(index_columns)
         if not len(self):
             return self
         if not index:
-            ds = self if self.known_sizes else self.reindex()
+            ds = self if self.known_sizes else self.reindex(progress=progress)
             _, sizes = row_divisions(list(ds.sizes), rows_per_partition)
             if not sizes:
                 return Dataset(ds._df, Layout(0, (), ()))
-            df = row_parts(ds._df, PID, ORD, rows_per_partition).withColumn(ORD, F.col(PID).cast("long") * (1 << 44) + F.col(ORD)).drop(PID).withColumnRenamed("__part", PID)
-            steps.step()
-            return Dataset(df.select(*ds.schema, PID, ORD), Layout(len(sizes), (), tuple(sizes)))
+            with Progress(self._spark, progress):
+                df = row_numbers(ds._df, PID, ORD)
+            df = df.withColumns({ORD: F.array("__row"), PID: F.floor(F.col("__row") / rows_per_partition).cast("int")})
+            return Dataset(df.select(*(F.col(f"`{c}`") for c in ds.schema), PID, ORD), Layout(len(sizes), (), tuple(sizes)))
         Dataset(self._df, Layout(len(self), index, None, None, None))  # checks the names
         fraction = min(1.0, sample_fraction)
-        counts = key_counts(self._df.drop(ORD), PID, index, fraction, base_seed, seed_increment)
-        parts = key_divisions(counts, index, max(1, int(fraction * rows_per_partition)))
-        steps.step()
+        with Progress(self._spark, progress):
+            counts = key_counts(self._df, PID, ORD, index, fraction, base_seed, seed_increment)
+            parts = key_divisions(counts, index, max(1, int(fraction * rows_per_partition)))
         if not parts:
             return Dataset(self._df, Layout(0, index, (), (), ()))
         key = [F.col(f"`{c}`") for c in index]
         pid = ordinal(key, [p[1] for p in parts[1:]], self._types(index))
-        df = self._df.withColumns({ORD: F.col(PID).cast("long") * (1 << 44) + F.col(ORD) % (1 << 44), PID: pid})
+        df = self._df.withColumns({ORD: _before(F.col(PID)), PID: pid})
         exact = fraction >= 1
         return Dataset(df, Layout(len(parts), index, *((tuple(p[k] for p in parts) for k in range(3)) if exact else (None, None, None))))
 
@@ -270,10 +266,8 @@ class Dataset:
         """Write a folder for each partition that has rows, and a manifest. Returns the dataset there, or None when appending.
         Only whole results take a path's place, so a dataset may be written over its own source."""
         workers(parallel)
-        steps = Progress(progress, 1)
-        out = write_dataset(self, path, append)
-        steps.step()
-        return out
+        with Progress(self._spark, progress):
+            return write_dataset(self, path, append)
 
 
 def _check_hidden(names) -> None:
@@ -282,7 +276,30 @@ def _check_hidden(names) -> None:
 
 
 def _mapped(values: dict[int, Any]) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), F.col(PID))
+    """What each partition number stands for: looked up by place; numbers without a value give null."""
+    return F.get(F.array(*(F.lit(values.get(p)) for p in range(max(values, default=-1) + 1))), F.col(PID))
+
+
+def _before(first: Column) -> Column:
+    """The order key behind another one that counts first."""
+    return F.concat(F.array(first.cast("long")), F.col(ORD))
+
+
+def _sorted(order: pa.ChunkedArray) -> pa.Array:
+    """The places of order keys in their order; a shorter key comes before those that it begins."""
+    keys = order.combine_chunks()
+    keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
+    size, flat = np.asarray(keys.value_lengths()), np.asarray(keys.flatten())
+    grid = np.full((len(size), max(size, default=0)), np.iinfo(np.int64).min)
+    grid[np.arange(grid.shape[1]) < size[:, None]] = flat
+    return pa.array(np.lexsort(grid.T[::-1]))
+
+
+def _hidden(table: pa.Table, pid: int) -> pa.Table:
+    """A partition's table with its hidden columns."""
+    n = len(table)
+    keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(np.arange(n), pa.int64()))
+    return table.append_column(PID, pa.array(np.full(n, pid), pa.int32())).append_column(ORD, keys)
 
 
 def _picked(df: DataFrame, keep: list[int], n: int) -> DataFrame:
@@ -295,17 +312,20 @@ def _picked(df: DataFrame, keep: list[int], n: int) -> DataFrame:
     return df.withColumn(PID, _mapped({p: i for i, p in enumerate(keep)}))
 
 
-def from_dataframe(data, index_columns=(), partition_ids=None, npartitions: int | None = None, spark: SparkSession | None = None) -> Dataset:
+def from_dataframe(data, index_columns=(), partition_ids=None, npartitions: int | None = None, spark: SparkSession | None = None, order_by=None) -> Dataset:
     """A dataset of one partition from a Spark or pandas DataFrame or an Arrow table, with its statistics (runs a job).
 
-    `partition_ids`, a Column of ints from 0, deals the rows to `npartitions` partitions instead; statistics then come with
+    Rows keep the order that Spark reads them in, or that of the columns `order_by` (nulls first), by which they are sorted
+    in ranges, so that no task holds them all. `partition_ids`, a Column of ints from 0, deals the rows to `npartitions` partitions instead; statistics then come with
     reindex(). No rows and an index: no partitions.
     """
     if not isinstance(data, DataFrame):
         data = (spark or SparkSession.getActiveSession()).createDataFrame(data)
     _check_hidden(data.columns)
     index = _names(index_columns)
-    df = data.withColumns({PID: (F.lit(0) if partition_ids is None else partition_ids).cast("int"), ORD: F.monotonically_increasing_id()})
+    if order_by is not None:
+        data = data.orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in _names(order_by)))
+    df = data.withColumns({PID: (F.lit(0) if partition_ids is None else partition_ids).cast("int"), ORD: F.array(F.monotonically_increasing_id())})
     if partition_ids is not None:
         if npartitions is None:
             npartitions = (df.agg(F.max(PID)).first()[0] or 0) + 1
@@ -330,7 +350,7 @@ def concat(datasets, spark: SparkSession | None = None) -> Dataset:
     if not full:
         if datasets:
             return datasets[0]
-        hidden = T.StructType([T.StructField(PID, T.IntegerType()), T.StructField(ORD, T.LongType())])
+        hidden = T.StructType([T.StructField(PID, T.IntegerType()), T.StructField(ORD, ORDER)])
         return Dataset((spark or SparkSession.getActiveSession()).createDataFrame([], hidden), Layout(0, (), ()))
     first = full[0]
     if any(d.index_columns != first.index_columns for d in full):

@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.stats import key_struct, key_tuple
+from tessera.sources.scratch import scratch
+
 SLICE = 1 << 20  # rows (by order key) that are numbered together
+UNIT = 1 << 40  # sampling hashes are below it
+#: Standard deviations between the share of rows that are surely sampled and the share that surely isn't.
+SPREAD = 6
+
+
+def sampled(df: DataFrame, pid: str, order: str, fraction: float, seed: int, step: int) -> DataFrame:
+    """max(int(fraction * n), 1) rows of each partition of n rows, without replacement: those of the least seeded hashes of
+    their order keys.
+
+    Nearly all are told by the hash alone, where they are. Only rows whose hash is so near to the limit that chance decides
+    are ranked, so a partition is never brought together in one task.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed) + F.col(pid) * step, order), F.lit(UNIT))
+    df = df.withColumn("__u", u)
+    wanted, spark = {}, df.sparkSession
+    for p, n in df.groupBy(pid).count().collect():
+        k = max(int(fraction * n), 1)
+        slack = SPREAD * math.sqrt(k) + SPREAD**2
+        wanted[p] = (k, int(UNIT * max(0.0, k - slack) / n), int(UNIT * min(1.0, (k + slack) / n)))
+    if not wanted:
+        return df.drop("__u")
+    limits = F.broadcast(spark.createDataFrame([(p, *w) for p, w in wanted.items()], "__q int, __k long, __lo long, __hi long"))
+    df = df.join(limits, F.col(pid) == F.col("__q")).where("__u < __hi")
+    counts = {r[0]: (r["sure"], r["some"]) for r in df.groupBy(pid).agg(F.count_if(F.col("__u") < F.col("__lo")).alias("sure"), F.count("*").alias("some")).collect()}
+    for p, (k, _, hi) in wanted.items():
+        sure, some = counts.get(p, (0, 0))
+        if sure > k or (some < k and hi < UNIT):
+            raise RuntimeError("a sample's hashes are too uneven; take another seed")
+    sure = df.where("__u < __lo")
+    left = F.broadcast(spark.createDataFrame([(p, k - counts.get(p, (0, 0))[0]) for p, (k, *_) in wanted.items()], "__p int, __left long"))
+    near = df.where("__u >= __lo").withColumn("__r", F.row_number().over(Window.partitionBy(pid).orderBy("__u", order)))
+    near = near.join(left, F.col(pid) == F.col("__p")).where("__r <= __left")
+    return sure.select(*(F.col(f"`{c}`") for c in df.columns)).unionByName(near.select(*(F.col(f"`{c}`") for c in df.columns))).drop("__u", "__q", "__k", "__lo", "__hi")
 
 
-def key_counts(df: DataFrame, pid: str, index_columns: tuple[str, ...], fraction: float, seed: int, step: int) -> DataFrame:
-    """Rows for each key: of all rows, or of max(int(fraction * n), 1) rows of each partition, picked by a seeded hash."""
+def key_counts(df: DataFrame, pid: str, order: str, index_columns: tuple[str, ...], fraction: float, seed: int, step: int) -> DataFrame:
+    """Rows for each key: of all rows or of a sample of each partition."""
+    df = df.select(pid, order, *(F.col(f"`{c}`") for c in index_columns))
     if fraction < 1:
-        rank = F.xxhash64(F.lit(seed) + F.col(pid) * step, *(F.col(f"`{c}`") for c in df.columns if c != pid))
-        w = Window.partitionBy(pid)
-        df = df.withColumn("__r", F.row_number().over(w.orderBy(rank))).withColumn("__n", F.count("*").over(w))
-        df = df.where(F.col("__r") <= F.greatest((F.col("__n") * fraction).cast("long"), F.lit(1)))
+        df = sampled(df, pid, order, fraction, seed, step)
     return df.groupBy(*(F.col(f"`{c}`") for c in index_columns)).agg(F.count("*").alias("__c"))
 
 
@@ -27,8 +62,7 @@ def key_divisions(counts: DataFrame, index_columns: tuple[str, ...], rows: int)
     row for each range and each part.
     """
     order = [F.col(f"`{c}`").asc_nulls_first() for c in index_columns]
-    ranged = counts.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with scratch(counts.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())) as ranged:
         before, total = {}, 0
         for p, c in sorted(map(tuple, ranged.groupBy("__p").agg(F.sum("__c")).collect())):
             before[p], total = total, total + c
@@ -36,11 +70,10 @@ def key_divisions(counts: DataFrame, index_columns: tuple[str, ...], rows: int)
             return []
         start = counts.sparkSession.createDataFrame(list(before.items()), "__p int, __b long")
         run = F.sum("__c").over(Window.partitionBy("__p").orderBy(*order)) + F.col("__b")
-        key = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(index_columns)))
+        key = key_struct(counts, index_columns)
         parts = ranged.join(F.broadcast(start), "__p").withColumn("__part", F.floor(run / rows)).groupBy("__part")
-        return [(r["n"], tuple(r["lo"]), tuple(r["hi"])) for r in sorted(parts.agg(F.sum("__c").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect(), key=lambda r: r["__part"])]
-    finally:
-        ranged.unpersist()
+        found = parts.agg(F.sum("__c").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    return [(r["n"], key_tuple(counts, index_columns, r["lo"]), key_tuple(counts, index_columns, r["hi"])) for r in sorted(found, key=lambda r: r["__part"])]
 
 
 def row_divisions(sizes: list[int], rows: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -53,15 +86,18 @@ def row_divisions(sizes: list[int], rows: int) -> tuple[list[tuple[int, int]], l
     return cuts, [min(rows, total - at) for at in range(0, total, rows)]
 
 
-def row_parts(df: DataFrame, pid: str, order: str, rows: int) -> DataFrame:
-    """df with `__part`, the global row number // rows, by (pid, order). Slices of SLICE order keys are numbered on their own;
-    the driver adds up a count for each."""
-    df = df.withColumn("__s", F.floor(F.col(order) / SLICE))
-    counts = df.groupBy(pid, "__s").agg(F.count("*").alias("c")).collect()
+def row_numbers(df: DataFrame, pid: str, order: str) -> DataFrame:
+    """df with `__row`, the global row number by (pid, order). Slices of SLICE order keys are numbered on their own; the
+    driver adds up a count for each. A slice that isn't as it was counted is an error: no row is lost in silence."""
+    head, last = F.slice(order, F.lit(1), F.size(order) - 1), F.element_at(order, -1)
+    df = df.withColumns({"__h": head, "__s": F.floor(last / SLICE)})
+    counts = sorted(map(tuple, df.groupBy(pid, "__h", "__s").agg(F.count("*").alias("c")).collect()))
     offsets, total = [], 0
-    for r in sorted(counts, key=lambda r: (r[0], r[1])):
-        offsets.append((r[0], r[1], total))
-        total += r["c"]
-    start = df.sparkSession.createDataFrame(offsets, f"{pid} int, __s long, __b long")
-    number = F.row_number().over(Window.partitionBy(pid, "__s").orderBy(order)) - 1 + F.col("__b")
-    return df.join(F.broadcast(start), [pid, "__s"]).withColumn("__part", F.floor(number / rows).cast("int")).drop("__s", "__b")
+    for *at, n in counts:
+        offsets.append((*at, total, n))
+        total += n
+    start = df.sparkSession.createDataFrame(offsets, f"{pid} int, __h array<long>, __s long, __b long, __n long")
+    w = Window.partitionBy(pid, "__h", "__s")
+    df = df.join(F.broadcast(start), [pid, "__h", "__s"], "left").withColumns({"__row": F.row_number().over(w.orderBy(order)) - 1 + F.col("__b"), "__m": F.count("*").over(w)})
+    changed = F.raise_error(F.lit("the rows changed while they were numbered; write the dataset first")).cast("long")
+    return df.withColumn("__row", F.when(F.col("__m").eqNullSafe(F.col("__n")), F.col("__row")).otherwise(changed)).drop("__h", "__s", "__b", "__n", "__m")

@@ -35,9 +35,6 @@ class Layout:
     def known_bounds(self) -> bool:
         return self.lower is not None
 
-    def without_sizes(self) -> "Layout":
-        return replace(self, sizes=None)
-
     def without_bounds(self, index_columns: tuple[str, ...] | None = None) -> "Layout":
         return replace(self, index_columns=self.index_columns if index_columns is None else index_columns, lower=None, upper=None)
 

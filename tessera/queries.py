@@ -7,8 +7,8 @@ matters, some keys are made null on both sides.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
+import zoneinfo
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from tessera import concat, from_dataframe, scan_parquet, write_metadata
 from tessera.operators.dataset import Dataset
+from tessera.plans.division import sampled
+from tessera.sources.files import Files
+from tessera.sources.parquet import ORD, PID
+from tessera.sources.scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,8 +50,7 @@ def orders(spark: SparkSession, d: str, by: Column | None = None, n: int = 8, in
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
 
 
 def layout_rows(ds: Dataset, names: list[str], kinds: str) -> DataFrame:
@@ -163,14 +166,15 @@ def map_partition_agg(spark, d):
     return orders(spark, d).map(_summary, index_columns=(), rowwise=False).to_dataframe("pid").select(F.col("pid").cast("long").alias("pid"), "n", "top")
 
 
-#: Orders of odd keys, and line items summed up by order, their key null on every fifth.
-LEFT = "(SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey END AS k, o_custkey AS c FROM orders WHERE o_orderkey % 2 = 1)"
+#: Orders, their key null on every eleventh, and line items summed up by order, their key null on every fifth: so both sides
+#: have keys that the other lacks.
+LEFT = "(SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey END AS k, o_custkey AS c FROM orders)"
 RIGHT = "(SELECT CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_orderkey END AS k, count(*) AS lines FROM lineitem GROUP BY l_orderkey)"
 
 
 def _sides(spark, d) -> tuple[Dataset, Dataset]:
     k = F.col("o_orderkey")
-    left = table(spark, d, "orders").where(k % 2 == 1).select(F.when(k % 11 == 0, None).otherwise(k).alias("k"), F.col("o_custkey").alias("c"))
+    left = table(spark, d, "orders").select(F.when(k % 11 == 0, None).otherwise(k).alias("k"), F.col("o_custkey").alias("c"))
     k = F.col("l_orderkey")
     right = table(spark, d, "lineitem").groupBy(k).agg(F.count("*").alias("lines")).select(F.when(k % 5 == 0, None).otherwise(k).alias("k"), "lines")
     deal = lambda n: F.coalesce(F.floor(F.col("k") / n), F.lit(0)) % 16
@@ -230,8 +234,7 @@ def repartition_sampled(spark, d):
 @query("SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // 1500 AS BIGINT) AS pid, event_id FROM events")
 def repartition_rows(spark, d):
     df = table(spark, d, "events").select("event_id")
-    ds = from_dataframe(df, (), F.floor(F.col("event_id") / 700))
-    ds._df = ds._df.withColumn("__ord", F.col("event_id"))  # the file's order, stated by its key
+    ds = from_dataframe(df, (), F.floor(F.col("event_id") / 700), order_by="event_id")
     return ds.repartition(1500).to_dataframe("pid").select(F.col("pid").cast("long").alias("pid"), "event_id")
 
 
@@ -281,6 +284,79 @@ def write_metadata_stats(spark, d):
     return layout_rows(scan_parquet(spark, path), ["k"], "long")
 
 
+@query("SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'")
+def slice_timestamp_ltz(spark, d):
+    """Instants in place of local times; the session's zone plays no part between the two ends."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = table(spark, d, "events").select("event_id", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.lit("UTC")).alias("ts"), "value")
+    ds = from_dataframe(df, ["ts"], F.dayofmonth("ts") % 6, 6).reindex()
+    lb, ub = (dt.datetime(2024, 1, day, hour, tzinfo=zoneinfo.ZoneInfo(zone)) for day, hour in ((5, 6), (20, 0)))
+    return ds.slice((lb,), (ub,)).to_dataframe().select("event_id", "value")
+
+
+@query("SELECT o_orderkey, isnan(p) AS none FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN CAST('NaN' AS DOUBLE) ELSE o_totalprice END AS p FROM orders) WHERE p > 150000 OR isnan(p)")
+def slice_nan(spark, d):
+    """NaN comes after all numbers: partitions that end in it stay, and their rows are found in written files too."""
+    k = F.col("o_orderkey")
+    df = table(spark, d, "orders").select("o_orderkey", F.when(k % 9 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("p"))
+    ds = from_dataframe(df, ["p"], k % 8, 8).write_parquet(folder(spark))
+    return ds.slice((150000.0,), None, "none").to_dataframe().select("o_orderkey", F.isnan("p").alias("none"))
+
+
+@query("WITH b AS (SELECT o_orderkey // 700 AS q, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY q) - 1 AS BIGINT) AS pid, false AS sized, greatest(lo, 300) AS lb_k, least(hi, 2500) AS ub_k FROM b WHERE hi >= 300 AND lo < 2500")
+def slice_layout(spark, d):
+    """The layout of a slice: bounds no wider than asked for, sizes unknown where partitions are cut."""
+    ds = from_dataframe(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], F.floor(F.col("o_orderkey") / 700)).reindex().slice((300,), (2500,))
+    rows = [(p, ds.known_sizes, ds.lower_bounds[p][0], ds.upper_bounds[p][0]) for p in range(len(ds))]
+    return spark.createDataFrame(rows, "pid long, sized boolean, lb_k long, ub_k long")
+
+
+@query(STATS.format(where=""))
+def map_preserves(spark, d):
+    return layout_rows(orders(spark, d).reindex().map(lambda df: df.withColumn("twice", F.col("p") * 2), preserves="all"), ["c", "k"], "long long")
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 3 AS BIGINT) AS pid FROM orders")
+def scan_foreign(spark, d):
+    """Files of another writer, without a manifest, under names that need care."""
+    path = folder(spark)
+    files = Files(spark, path)
+    files.fs.mkdirs(files.path)
+    for k, name in enumerate(("a b.parquet", "c%20d.parquet", "e[1]+.parquet")):
+        table(spark, d, "orders").where(F.col("o_orderkey") % 3 == k).select("o_orderkey").coalesce(1).write.parquet(f"{path}-{k}")
+        made = Files(spark, f"{path}-{k}")
+        part = next(n for n, _ in made.names() if n.startswith("part-"))
+        made.fs.rename(made.at(part), files.at(name))
+        made.delete()
+    return scan_parquet(spark, path).to_dataframe("pid").select("o_orderkey", F.col("pid").cast("long").alias("pid"))
+
+
+@query(f"WITH q AS ({CUM}) SELECT o.o_orderkey, o.c, CAST(dense_rank() OVER (ORDER BY q.part) - 1 AS BIGINT) AS pid FROM {O} o JOIN q ON o.c IS NOT DISTINCT FROM q.c")
+def repartition_write(spark, d):
+    ds = orders(spark, d).repartition(1000, "c").write_parquet(folder(spark))
+    return ds.to_dataframe("pid").select("o_orderkey", "c", F.col("pid").cast("long").alias("pid"))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY part) - 1 AS BIGINT) AS pid, CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(c) < count(*) THEN NULL ELSE min(c) END AS lb_c, max(c) AS ub_c FROM ({CUM}) GROUP BY part")
+def repartition_fraction_above_one(spark, d):
+    """Fractions above 1 count all rows, so the layout is known."""
+    return layout_rows(orders(spark, d).repartition(1000, "c", sample_fraction=2.0), ["c"], "long")
+
+
+@query("SELECT CAST(o_orderkey % 8 AS BIGINT) AS pid, greatest(CAST(floor(count(*) * 0.1) AS BIGINT), 1) AS n FROM orders GROUP BY 1")
+def sample_sizes(spark, d):
+    """The rows that a sampled repartition counts: an exact number of each partition, none twice."""
+    some = sampled(orders(spark, d)._df, PID, ORD, 0.1, 10, 10)
+    return some.groupBy(F.col(PID).cast("long").alias("pid")).agg(F.count_distinct("o_orderkey").alias("n"))
+
+
+@query(f"SELECT o_orderkey, c, p FROM {O} WHERE c >= 500")
+def overwrite_self(spark, d):
+    path = folder(spark)
+    orders(spark, d).reindex().write_parquet(path).slice((500,)).write_parquet(path)
+    return scan_parquet(spark, path).to_dataframe()
+
+
 @query("SELECT r_regionkey, r_name FROM region ORDER BY 1")
 def collect_table(spark, d):
     return spark.createDataFrame(from_dataframe(table(spark, d, "region"), ["r_regionkey"]).collect())

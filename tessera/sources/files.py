@@ -7,9 +7,9 @@ from pyspark.sql import SparkSession
 
 class Files:
     def __init__(self, spark: SparkSession, path: str):
-        self.jvm = spark._jvm
+        self.jvm, self.gateway, self.conf = spark._jvm, spark._sc._gateway, spark._jsc.hadoopConfiguration()
         self.path = self.jvm.org.apache.hadoop.fs.Path(path)
-        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs = self.path.getFileSystem(self.conf)
 
     def at(self, *names: str):
         out = self.path
@@ -39,8 +39,10 @@ class Files:
         stream = self.fs.create(neighbour, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(self.at(name), False)
-        self.fs.rename(neighbour, self.at(name))
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path.toUri(), self.conf).rename(neighbour, self.at(name), options)
 
     def delete(self) -> None:
         self.fs.delete(self.path, True)
@@ -48,3 +50,21 @@ class Files:
     def move_to(self, other: "Files") -> None:
         if not self.fs.rename(self.path, other.path):
             raise OSError(f"can't rename {self.path} to {other.path}")
+
+    def replace_by(self, stage: "Files", aside: "Files") -> None:
+        """Put `stage` in the place of this folder, which stands aside meanwhile and comes back if that fails."""
+        held = self.exists()
+        if held:
+            self.move_to(aside)
+        try:
+            stage.move_to(self)
+        except BaseException:
+            if held:
+                aside.move_to(self)
+            raise
+        if held:
+            aside.delete()
+
+    def encoded(self, name: str) -> str:
+        """A file's name as Spark's metadata column has it."""
+        return self.at(name).toUri().getRawPath().split("/")[-1]
