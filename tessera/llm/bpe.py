@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, removed, shared_dir, shuffles_deleted, written
+from tessera.llm.common import only, released, removed, shared_dir, tidy, trimmed, written
 
 #: Unicode White_Space, which the tokenizer's own pattern splits at, as a class of Java's patterns.
 SPACE = r"\s\x85\p{Z}"
@@ -138,9 +138,8 @@ def sliced(kind: pa.DataType, most: int, buckets: int):
 
         def closed() -> Batches:
             name = (TaskContext.get().partitionId() << 32) + done
-            d = pa.chunked_array(flats, pa.string()).combine_chunks().dictionary_encode()
-            if isinstance(d, pa.ChunkedArray):
-                d = d.combine_chunks()
+            d = pa.concat_arrays(flats).dictionary_encode()
+            flats.clear()
             code = d.indices.to_numpy(zero_copy_only=False)
             order = np.argsort(-np.bincount(code, minlength=len(d.dictionary)), kind="stable")  # frequent words get small codes
             rank = np.empty(len(order), np.int32)
@@ -299,12 +298,13 @@ def assembled(path: str, out: pa.Schema, finish: Callable[[Batches], Batches] |
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         got = solve(texts, found) if len(texts) else iter(())
         batches = list(finish(got) if finish else got)
+        released()
         return pa.Table.from_batches(batches).cast(out) if batches else out.empty_table()
 
     return run
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, finish: Callable[[Batches], Batches] | None = None, finish_schema: str = "", slice_bytes: int = 32 << 20) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, finish: Callable[[Batches], Batches] | None = None, finish_schema: str = "", slice_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) for every row: the ids that the tokenizer of `path` gives the whole text
     without special tokens added (their strings in a text do become their ids), and the text that these ids decode to.
 
@@ -332,7 +332,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     def saved(df: DataFrame, name: str, by: str, *folders: str) -> DataFrame:
         """The table, bucketed in the shared folder, so that neither join nor grouping by the column shuffles it again."""
         writer = df.write.option("compression", "zstd").option("path", f"{base}/{names[name]}").bucketBy(n, by).sortBy(by)
-        with shuffles_deleted(spark):
+        with tidy(spark):
             (writer.partitionBy(*folders) if folders else writer).saveAsTable(names[name])
         return spark.table(names[name])
 
@@ -341,13 +341,13 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     text = F.coalesce(F.col("text"), F.lit(""))
     split = rows.select("doc_id", F.posexplode(F.array(text) if whole else chunks(text)).alias("part", "text")).select("doc_id", "part", F.octet_length("text").alias("octets"), words(F.col("text"), marks).alias("words"))
     arrow = to_arrow_schema(rows.select("doc_id").schema).field(0).type
-    slices = saved(split.mapInArrow(sliced(arrow, slice_bytes, n), f"what string, slice long, at long, part int, doc_id {kind}, codes binary"), "slices", "slice", "what")
+    slices = saved(split.mapInArrow(trimmed(sliced(arrow, slice_bytes, n)), f"what string, slice long, at long, part int, doc_id {kind}, codes binary"), "slices", "slice", "what")
     places = slices.where("what = 'words'").select("slice", F.col("at").cast("int").alias("at"), "codes").repartitionById(n, F.col("at"))
-    places = places.select("slice", "codes").mapInArrow(unpacked, "slice long, code int, word string")
+    places = places.select("slice", "codes").mapInArrow(trimmed(unpacked), "slice long, code int, word string")
     places = saved(places, "words", "word")
     removed(spark, f"{base}/{names['slices']}/what=words")
     saved(places.select("word").distinct().withColumn("ids", encoder(path)("word")), "table", "word")
-    found = places.hint("merge").join(spark.table(names["table"]), "word").select("slice", "code", "ids").mapInArrow(packed(), "slice long, code binary, length binary, ids binary")
+    found = places.hint("merge").join(spark.table(names["table"]), "word").select("slice", "code", "ids").mapInArrow(trimmed(packed()), "slice long, code binary, length binary, ids binary")
     texts = spark.table(names["slices"]).where("what = 'doc'").select("slice", "at", "part", "doc_id", "codes")
     schema = f"doc_id {kind}, " + (finish_schema or "ids array<int>, decoded string")
     shape = to_arrow_schema(spark.createDataFrame([], schema).schema)

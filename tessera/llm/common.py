@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Spark's setting to delete a query's shuffle files once it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The most bytes of a batch that a Python worker gets.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own_dir: list[str] = []
 
@@ -31,21 +34,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Queries that end in here delete their shuffle files."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here delete their shuffle files, and send Python workers batches of few bytes."""
+    ours = {CLEANUP: "true", BATCH: "8m"}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches whose worker gives freed memory back at its end: workers live on through later stages."""
+
+    def with_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return with_trim
+
+
+def released() -> None:
+    """Give freed memory back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cut the lineage of df: write it as Parquet to the shared folder and read it again. Also its path, for removed()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with shuffles_deleted(spark):  # the table stands for the shuffles from here on
+    with tidy(spark):  # the table stands for the shuffles from here on
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -71,7 +96,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.xxhash64(id_col, text_col).alias("r1"), F.xxhash64(text_col, F.lit(7), id_col).alias("r2")]
 
 
-def text_views(batch: pa.RecordBatch, name: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_views(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch of about `most` bytes of text (a row at least): rows, UTF-8 bytes, offsets. Null counts as empty."""
     col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).fill_null(b"")
     if not len(col):

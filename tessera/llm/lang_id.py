@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Adam, held_out, only, strata, taught, text_views
+from tessera.llm.common import Adam, held_out, only, row_key, strata, taught, text_views, trimmed
 
 WIDTHS = (2, 3, 4)
 OVER = max(WIDTHS) - 1  # bytes that neighbouring windows share, so that no n-gram is lost between them
@@ -137,15 +137,18 @@ def predictor(net: ByteConv | None):
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, net: ByteConv | None = None, each: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, net: ByteConv | None = None, each: int = 1500, row_keys: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row, from all windows of its whole text.
 
     The network is fitted on the rows whose crc32 of doc_id modulo 3 is not 1 and that have a language (see train()), unless
     one is given. A text's score is the softmax of its windows' mean log-probabilities, weighted by their bytes. `und` with
     score 0: null text, a text without a letter, or no labelled rows to learn from. Rows in, rows out: repeated rows and null
     ids are kept (a null id is not held out, nor learnt from); an empty table gives no rows; other columns are not looked at.
+    With `row_keys` also r1 and r2 (see row_key()).
     """
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col)
     net = net or train(rows)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(predictor(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    keys = row_key() if row_keys else []
+    rows = rows.select("doc_id", held_out().alias("held_out"), *keys, "text")
+    return rows.mapInArrow(trimmed(predictor(net)), f"doc_id {kind}, held_out boolean, {'r1 long, r2 long, ' if keys else ''}lang_pred string, score double")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Adam, mix, only, removed, text_views, written
+from tessera.llm.common import Adam, mix, only, removed, text_views, trimmed, written
 from tessera.llm.ngram_join import word_hashes
 
 SIDES = (-2, -1, 1, 2)
@@ -194,8 +194,8 @@ def taught_by_all(rows: DataFrame, vocabulary: Vocabulary, net: WindowNet, round
     turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(rounds))
     for k in range(rounds):
         model = rows.sparkSession.sparkContext.broadcast((vocabulary, net.packed()))
-        copies = rows.where(turn == k).select("text").mapInArrow(trained(model, rate, size), kind)
-        means = copies.repartition(32).mapInArrow(averaged, kind).toArrow()
+        copies = rows.where(turn == k).select("text").mapInArrow(trimmed(trained(model, rate, size)), kind)
+        means = copies.repartition(32).mapInArrow(trimmed(averaged), kind).toArrow()
         for out in averaged(iter(means.combine_chunks().to_batches())):
             net = WindowNet().unpacked(np.frombuffer(out.column("p")[0].as_py(), np.float32))
         model.destroy()
@@ -210,7 +210,7 @@ def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length:
     counts of the other words that occur more than once, and the path of their table, for removed().
     """
     spark = docs.sparkSession
-    counts, path = written(docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    counts, path = written(docs.select("text").mapInArrow(trimmed(counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(2, -(-total // most_head))
     head = counts.where(F.col("n") >= least).toArrow()
@@ -222,7 +222,7 @@ def learnt(docs: DataFrame, most_head: int = 1 << 17, texts: int = 1500, length:
             mass = np.bincount(b, np.asarray(batch.column("n")), BUCKETS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(mass)], ["b", "mass"])
 
-    tail = {r["b"]: r["mass"] for r in counts.where(F.col("n") < least).mapInArrow(tails, "b long, mass long").groupBy("b").agg(F.sum("mass").alias("mass")).collect()}
+    tail = {r["b"]: r["mass"] for r in counts.where(F.col("n") < least).mapInArrow(trimmed(tails), "b long, mass long").groupBy("b").agg(F.sum("mass").alias("mass")).collect()}
     others = counts.where((F.col("n") > 1) & (F.col("n") < least))
     vocabulary = Vocabulary(words, n, tail)
     rows = docs.where(F.octet_length("text") > 0)
@@ -293,8 +293,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mo
     model = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select(F.xxhash64("doc_id", "text").alias("r"), "doc_id", "text")
-    out = rows.mapInArrow(scored(model), f"r long, doc_id {kind}, n_tokens long, log_prob double")
-    own = rows.select("r", "text").mapInArrow(rare(model), "r long, word long, c int").join(others.hint("shuffle_hash"), "word")
+    out = rows.mapInArrow(trimmed(scored(model)), f"r long, doc_id {kind}, n_tokens long, log_prob double")
+    own = rows.select("r", "text").mapInArrow(trimmed(rare(model)), "r long, word long, c int").join(others.hint("shuffle_hash"), "word")
     own = own.groupBy("r").agg(F.sum(F.col("c") * F.log("n")).alias("own"))
     # repeated rows have one r and gave their words each
     again = rows.groupBy("r").agg(F.count("*").alias("again")).where("again > 1")

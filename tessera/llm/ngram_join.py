@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import classes, lists, mix, only, removed, row_key, signed, text_views, written
+from tessera.llm.common import classes, lists, mix, only, removed, row_key, signed, text_views, trimmed, written
 
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[9, 10, 11, 12, 13, 32]] = False
@@ -304,13 +304,13 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     spark = docs.sparkSession
     r, r2 = row_key()
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumns({"r": r, "r2": r2})
-    full, p_full = written(rows.mapInArrow(tagged(n, num, den), "doc_id long, r long, r2 long, n long, f1 long, f2 long, keys array<long>"), "ngram-keys")
+    full, p_full = written(rows.mapInArrow(trimmed(tagged(n, num, den)), "doc_id long, r long, r2 long, n long, f1 long, f2 long, keys array<long>"), "ngram-keys")
     base, _ = written(full.drop("keys"), "ngram-sets")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r", "r2")  # the row that stands for others
     reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min(first).alias("first"), F.first("n").alias("n"))
     reps = reps.select("f1", "f2", "n", "first", "first.r", F.expr("coalesce(first.doc_id, -1 - (first.r & 9223372036854775807))").alias("node"))
     keys = full.where(F.size("keys") > 0).select("f1", F.explode("keys").alias("key"))
-    live, p_live = written(keys.repartition("key").sortWithinPartitions("key", "f1").mapInArrow(live_runs, "key long, lead long, f1 long"), "ngram-live")
+    live, p_live = written(keys.repartition("key").sortWithinPartitions("key", "f1").mapInArrow(trimmed(live_runs), "key long, lead long, f1 long"), "ngram-live")
     removed(spark, p_full)
     lit = live.select("f1").union(live.select("lead")).distinct()
     want, p_want = written(reps.join(lit, "f1").select("r", "f1", "node", "n"), "ngram-want")
@@ -319,7 +319,7 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
         """The bitmaps (and sets) of the representatives in `some`, from their texts."""
         few = some.count() <= broadcast_rows
         kind = "f1 long, node long, n long, m binary" + ", h binary" * whole
-        return written(rows.select("r", "text").join(F.broadcast(some) if few else some, "r").mapInArrow(sets(n, bits_each, whole), kind), name)
+        return written(rows.select("r", "text").join(F.broadcast(some) if few else some, "r").mapInArrow(trimmed(sets(n, bits_each, whole)), kind), name)
 
     held, p_held = read(want, False, "ngram-signs")
     nodes = held.select("f1", "node", "n").distinct()
@@ -333,10 +333,10 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     def compared(tiles: DataFrame, name: str) -> DataFrame:
         """The links in tiles (key, i, j, node, comp): sets travel only for members whose bitmaps leave a link possible."""
         dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        near, p_near = written(dealt(tiles.join(signs, "node")).mapInArrow(tile_survivors(num, den), "key long, i int, j int, node long, comp long"), f"{name}-near")
+        near, p_near = written(dealt(tiles.join(signs, "node")).mapInArrow(trimmed(tile_survivors(num, den)), "key long, i int, j int, node long, comp long"), f"{name}-near")
         some, p_some = written(want.join(near.select("node").distinct(), "node").select("r", "f1", "node", "n"), f"{name}-some")
         sets_, p_sets = read(some, True, f"{name}-sets")
-        out, p_out = written(dealt(near.join(sets_.select("node", "m", "h"), "node")).mapInArrow(tile_links(num, den), "a long, b long"), name)
+        out, p_out = written(dealt(near.join(sets_.select("node", "m", "h"), "node")).mapInArrow(trimmed(tile_links(num, den)), "a long, b long"), name)
         paths.extend((p_near, p_out))
         removed(spark, p_some, p_sets)
         return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Adam, held_out, only, strata, taught, text_views
+from tessera.llm.common import Adam, held_out, only, strata, taught, text_views, trimmed
 from tessera.llm.ngram_join import word_hashes
 
 #: Byte kinds: 0 other; the rest in the order of this list.
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = 6000) -> Scorer | None
     text = docs.where(taught())
     trusted = text.join(F.broadcast(some), "doc_id").select("quality", "text")
     free = strata(text.withColumn("quality", F.lit(-1)), "quality", each, seed=12).select("quality", "text")
-    x = trusted.unionByName(free).mapInArrow(featured, "quality int, x binary").toPandas()
+    x = trusted.unionByName(free).mapInArrow(trimmed(featured), "quality int, x binary").toPandas()
     grid = np.frombuffer(b"".join(x["x"]), np.float32).reshape(-1, WIDTH).astype(np.float64)
     pos, un = grid[x["quality"] == 1], grid[x["quality"] == -1]
     return fit_nnpu(pos, un, prior) if len(pos) and len(un) else None
@@ -136,4 +136,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = only(docs, doc_id=id_col, text=text_col)
     net = train(rows, only(labels, doc_id=label_id, quality=label_col), each)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(scored(net), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(trimmed(scored(net)), f"doc_id {kind}, held_out boolean, score double, predicted int")

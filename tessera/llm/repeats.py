@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import M1, POWERS, mix, only, removed, row_key, signed, text_views, written
+from tessera.llm.common import M1, POWERS, mix, only, removed, row_key, signed, text_views, trimmed, written
 
 Batches = Iterator[pa.RecordBatch]
 
 GRAM = 32  # bytes of the grams that anchors are chosen from
 CHUNK = 1 << 20  # windows that are looked at together; a gram's place in a chunk fits the low bits of its key
 SYMBOLS = 5  # a window is a row of so many symbols
-SHARD = 1 << 20  # bytes of snippets whose windows are sorted together, before shards are merged
+SHARD = 1 << 18  # bytes of snippets whose windows are sorted together, before shards are merged
 LOW = np.uint64((1 << 21) - 1)
 
 
@@ -332,11 +332,11 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
             return None
         return spark.sparkContext.broadcast(np.sort(longs(df.select(column).toArrow(), column)))
 
-    common, p_common = written(text.mapInArrow(anchors(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeats-anchors")
-    runs, p_runs = written(text.mapInArrow(named_runs(length, looked_up(common, "anchor")), "anchor long, name long, n long").groupBy("anchor", "name").agg(F.sum("n").alias("n")), "repeats-runs")
+    common, p_common = written(text.mapInArrow(trimmed(anchors(length)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeats-anchors")
+    runs, p_runs = written(text.mapInArrow(trimmed(named_runs(length, looked_up(common, "anchor"))), "anchor long, name long, n long").groupBy("anchor", "name").agg(F.sum("n").alias("n")), "repeats-runs")
     kinds = runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     open_, p_open = written(runs.join(kinds, "anchor").select("anchor", "name", "n", "kinds"), "repeats-open")
-    bytes_ = text.mapInArrow(snippets(length, looked_up(open_, "name")), "anchor long, name long, place long, bytes binary")
+    bytes_ = text.mapInArrow(trimmed(snippets(length, looked_up(open_, "name"))), "anchor long, name long, place long, bytes binary")
     hots = open_.where(F.col("kinds") > hot).select("anchor").distinct()
     n_hot = hots.count()
     if n_hot:
@@ -346,9 +346,9 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         cool, warm = bytes_.join(hots, "anchor", "left_anti"), bytes_.join(hots, "anchor", "left_semi").dropDuplicates(["anchor", "name"])
     else:
         cool, warm = bytes_, None
-    ranges = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(merged(length), "anchor long, name long, froms array<long>, tos array<long>")
+    ranges = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(merged(length)), "anchor long, name long, froms array<long>, tos array<long>")
     if warm is not None:
-        points = warm.mapInArrow(hot_windows(length), "anchor long, name long, at long, window long")
+        points = warm.mapInArrow(trimmed(hot_windows(length)), "anchor long, name long, at long, window long")
         points, p_points = written(points, "repeats-points")
         again = points.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
         single = points.join(again, "window").groupBy("anchor", "name").agg(F.sort_array(F.collect_set("at")).alias("froms"))
@@ -367,7 +367,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         source = rows
     else:
         r1, r2 = row_key()
-        every = rows.select(r1, r2, "text").mapInArrow(placed_runs(length), "r1 long, r2 long, start long, n long, anchor long, name long")
+        every = rows.select(r1, r2, "text").mapInArrow(trimmed(placed_runs(length)), "r1 long, r2 long, start long, n long, anchor long, name long")
         whole = every.join(full, ["anchor", "name"], "left_semi").select("r1", "r2", "start", F.col("start").alias("f"), (F.col("start") + F.col("n")).alias("t"))
         some = every.join(ranges, ["anchor", "name"]).select("r1", "r2", "start", F.explode(F.arrays_zip("froms", "tos")).alias("x")).select("r1", "r2", "start", (F.col("start") + F.col("x.froms")).alias("f"), (F.col("start") + F.col("x.tos")).alias("t"))
         per, _ = written(whole.union(some).distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("f", "t")).alias("x")), "repeats-spans")
@@ -376,4 +376,4 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     removed(spark, p_common, p_runs, p_open, p_ranges, *([p_bytes, p_points] if warm is not None else []))
     kept = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + f", n_bytes long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}"
-    return source.mapInArrow(cleaned(length, looked, as_text), schema).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
+    return source.mapInArrow(trimmed(cleaned(length, looked, as_text)), schema).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})

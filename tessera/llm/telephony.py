@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import only, text_views
+from tessera.llm.common import only, text_views, trimmed
 
 Batches = Iterator[pa.RecordBatch]
 RATE = 8000
@@ -134,4 +134,4 @@ def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = only(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(stored(finish), f"doc_id {kind}, " + (finish_schema or "n_bytes long, media binary, pcm binary, feature string"))
+    return rows.mapInArrow(trimmed(stored(finish)), f"doc_id {kind}, " + (finish_schema or "n_bytes long, media binary, pcm binary, feature string"))
