@@ -194,32 +194,84 @@ def test_learnt_scores(spark, docs, odd):
 
 
 def test_lm_score(spark, docs, odd):
-    out = lm_score.score(docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "zx qv " * 50)], "doc_id long, text string"))).collect()
-    typical = np.median([r["mean_log_prob"] for r in out])
-    assert all(r["log_prob"] < 0 for r in out) and sum(r["n_tokens"] for r in out) == 100 + sum(len(words(t)) for _, t in texts(docs))
+    """Scores against plain sums: every word's probability from the network's softmaxes over all classes and from counts."""
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "zx qv " * 50), (-2, "zx qv " * 50)], "doc_id long, text string")).coalesce(1)
+    seen = {}
+    real = lm_score.learnt
+
+    def learnt(*args):
+        seen["v"], seen["net"], *rest = real(*args)
+        return seen["v"], seen["net"], *rest
+
+    lm_score.learnt = learnt
+    try:
+        out = {r["doc_id"]: r for r in lm_score.score(df, most_head=500).collect()}
+    finally:
+        lm_score.learnt = real
+    rows = {d: [int(h) for h in ngram_join.word_hashes(np.frombuffer((t or "").encode(), np.uint8)).view(np.int64)] for d, t in texts(df)}
+    n = collections.Counter(w for ws in rows.values() for w in ws)
+    total, head, net = sum(n.values()), {}, seen["net"].p
+    for w in sorted((w for w in n if n[w] >= max(2, -(-total // 500))), key=lambda w: (-n[w], w)):
+        head[w] = len(head)
+    klass = {w: head[w] if w in head and head[w] < lm_score.NAMED else lm_score.NAMED + int(lm_score.bucket(np.array([w]))[0]) for w in n}
+    mass = collections.Counter()
+    for w, c in n.items():
+        mass[klass[w]] += c
+
+    def softmax(z):
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    for d in (-1, *list(rows)[:12]):
+        want, ks = 0.0, [klass[w] for w in rows[d]]
+        for i, w in enumerate(rows[d]):
+            side = [ks[i + k] if 0 <= i + k < len(ks) else lm_score.EDGE for k in lm_score.SIDES]
+            h = np.tanh(sum(net["emb"][k][c] for k, c in enumerate(side)) + net["h"])
+            g, m = divmod(ks[i], lm_score.WIDTH)
+            want += np.log(softmax(h @ net["top"] + net["top0"])[g] * softmax(h @ net["low"][g] + net["low0"][g])[m]) + np.log(n[w] / mass[ks[i]])
+        assert out[d]["n_tokens"] == len(ks) and out[d]["log_prob"] == pytest.approx(want, rel=1e-4)
+        assert out[d]["mean_log_prob"] == (pytest.approx(want / len(ks), rel=1e-4) if ks else None)
     klass = np.array([3, 1, 2, 5])
-    assert lm_score.contexts(klass, np.array([3, 1])).tolist() == [[256, 256, 1, 2], [256, 3, 2, 256], [3, 1, 256, 256], [256] * 4]
+    e = lm_score.EDGE
+    assert lm_score.contexts(klass, np.array([3, 1])).tolist() == [[e, e, 1, 2], [e, 3, 2, e], [3, 1, e, e], [e] * 4]
     none = {r["doc_id"]: r for r in lm_score.score(odd).collect()}
-    assert none[1]["n_tokens"] == 0 and none[1]["log_prob"] == 0 and none[1]["mean_log_prob"] is None and typical < 0
+    assert none[1]["n_tokens"] == 0 and none[1]["log_prob"] == 0 and none[1]["mean_log_prob"] is None
+    assert lm_score.score(odd.limit(0)).count() == 0 and lm_score.score(odd.where("text is null")).count() == 2
 
 
-def test_window_net_learns():
-    r = np.random.default_rng(0)
-    y = np.tile([1, 2, 3, 4], 2000)
-    c = lm_score.contexts(y, np.array([len(y)]))
-    net = lm_score.WindowNet().fit(c, y, epochs=2)
-    assert net.log_probs(c, y).mean() > -0.2 > net.log_probs(c, r.permutation(y)).mean()
+def test_places():
+    rng = np.random.default_rng(3)
+    known = np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))
+    asked = np.concatenate((known[::3], rng.integers(-(1 << 62), 1 << 62, 3000)))
+    at = {int(w): k for k, w in enumerate(known)}
+    assert lm_score.Places(known).of(asked).tolist() == [at.get(int(w), -1) for w in asked]
+    assert lm_score.Places(known[:0]).of(asked[:3]).tolist() == [-1] * 3
 
 
-def test_lm_score_learns_outside_the_sample(spark):
-    """Without any passage to start from, the documents alone teach the network which word stands between which."""
-    df = spark.createDataFrame([(k, "one two three four " * 3000) for k in range(20)], "doc_id long, text string").coalesce(1)
-    assert all(r["mean_log_prob"] > -0.5 for r in lm_score.score(df, texts=0).collect())
+def test_gradient():
+    """The network's slopes against differences of its own loss."""
+    rng = np.random.default_rng(2)
+    net = lm_score.WindowNet(hidden=5)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    c, y = rng.integers(0, lm_score.CLASSES + 1, (40, 4)).astype(np.int16), rng.integers(0, lm_score.CLASSES, 40)
+    grads = net.gradient(c, y)
+    for name, at in (("top", (2, y[0] // lm_score.WIDTH)), ("low", (y[1] // lm_score.WIDTH, 1, 4)), ("emb", (1, c[3, 1], 2)), ("h", (3,)), ("low0", (y[2] // lm_score.WIDTH, y[2] % lm_score.WIDTH))):
+        loss = []
+        for step in (1e-3, -2e-3):
+            net.p[name][at] += step
+            loss.append(-net.log_probs(c, y).mean())
+        net.p[name][at] += 1e-3
+        assert grads[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-3, abs=2e-4)
+
+
+def test_lm_score_learns_from_all(spark):
+    """The documents teach the network which word stands between which."""
+    df = spark.createDataFrame([(k, "one two three four " * 3000) for k in range(40)], "doc_id long, text string").coalesce(1)
+    assert all(r["mean_log_prob"] > -0.5 for r in lm_score.score(df, size=1024).collect())
 
 
 def test_lm_score_counts_rare_words(spark):
     """Two words outside the head, of one bucket and in one context, differ by their counts; repeated rows get the same."""
-    names = [f"w{k}" for k in range(200)]
+    names = [f"w{k}" for k in range(900)]
     by = collections.defaultdict(list)
     for name in names:
         w = lm_score.words_of(np.frombuffer(name.encode(), np.uint8), np.array([0, len(name)]))[0]
