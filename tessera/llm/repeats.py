@@ -13,10 +13,10 @@ from tessera.llm.common import M1, POWERS, mix, only, removed, row_key, signed,
 
 Batches = Iterator[pa.RecordBatch]
 
-GRAM = 32  # bytes of the grams that anchors are chosen from
+GRAM = 64  # bytes of the grams that anchors are chosen from
 CHUNK = 1 << 20  # windows that are looked at together; a gram's place in a chunk fits the low bits of its key
-SYMBOLS = 5  # a window is a row of so many symbols
-SHARD = 1 << 18  # bytes of snippets whose windows are sorted together, before shards are merged
+SYMBOL = 8  # bytes of a symbol of the transforms
+SHARD = 1 << 14  # bytes of snippets whose suffixes are sorted together, before shards are merged
 LOW = np.uint64((1 << 21) - 1)
 
 
@@ -140,43 +140,91 @@ def snippets(length: int, open_):
 
 
 class ShardBwt:
-    """The windows of one shard, read as rows of SYMBOLS symbols (hashes of length / SYMBOLS bytes) and sorted by the first."""
+    """The Burrows-Wheeler transform of snippets over symbols of SYMBOL bytes: their suffixes in order, as far as `length`
+    bytes tell them apart, and for each the symbol before it.
 
-    def __init__(self, total: np.ndarray, at: np.ndarray, block: np.ndarray, length: int):
-        self.total, self.step = total, length // SYMBOLS
-        block = mix(block ^ self.symbol(at, 0))
-        order = np.argsort(block, kind="stable")
-        self.at, self.block = at[order], block[order]
-
-    def symbol(self, at: np.ndarray, k: int) -> np.ndarray:
-        return slice_hash(self.total, at + k * self.step, at + (k + 1) * self.step)
-
-
-def repeated(shards: list[ShardBwt], windows: int) -> np.ndarray:
-    """Merge shards by refining their interleave, symbol by symbol: which windows stand in an interval of several.
+    A snippet has one position more than bytes. Positions that a whole symbol doesn't follow are its ends: each is a symbol of
+    its own, and they come first.
+    """
 
-    Before pass k the interleave is right for the first k symbols: windows of one interval agree in them. A pass splits every
-    interval by the next symbol, keeping each shard's order; a window left alone in its interval has its longest common
-    prefix there and is never looked at again. Intervals left after the last pass are the repeated strings.
+    def __init__(self, snippets: list[bytes], length: int):
+        sizes = np.array([len(b) + 1 for b in snippets])
+        self.base = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"\0".join(snippets) + b"\0" * SYMBOL, np.uint8)
+        value = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SYMBOL)).view(">u8").ravel()[: sizes.sum()].astype(np.uint64)
+        n, left = len(value), np.repeat(self.base + sizes, sizes) - np.arange(sizes.sum())  # positions to the snippet's last
+        end = left <= SYMBOL
+        self.ends = int(end.sum())
+        self.alphabet, symbol = np.unique(value[~end], return_inverse=True)
+        rank = np.empty(n, np.int64)
+        rank[end], rank[~end] = np.arange(self.ends), symbol + self.ends
+        first, step = rank, SYMBOL
+        while step < length:  # each round doubles the bytes that suffixes are ordered by
+            ahead = np.zeros(n, np.int64)
+            ahead[:-step] = rank[step:]
+            ahead[left <= step] = 0
+            key = (rank.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
+            order = np.argsort(key)
+            key = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+            step *= 2
+        self.order = order
+        self.before = np.full(n, -1, np.int64)  # the place in the alphabet of the symbol before each suffix
+        inner = np.flatnonzero(order - np.repeat(self.base, sizes)[order] >= SYMBOL)
+        self.before[inner] = first[order[inner] - SYMBOL] - self.ends
+
+
+def merged_transform(shards: list[ShardBwt], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of the shards' suffixes, ordered by their first `symbols` symbols, and how many of those each shares
+    with the one before it (-1 for the first).
+
+    Before pass k the interleave is right for k - 1 symbols. A pass walks it and hands on each suffix's predecessor by the
+    symbol between the two, keeping the order otherwise: so it is right for k symbols, each shard's own order stays, and no
+    suffix is compared with another. Suffixes part in the pass that sees their first differing symbol, which gives their
+    common prefix; a pass in which none part is the last that is needed.
     """
-    which = np.repeat(np.arange(len(shards)), [len(s.at) for s in shards])
-    at, block = (np.concatenate([getattr(s, x) for s in shards]) for x in ("at", "block"))
-    base = np.cumsum([0, *(len(s.total) - 1 for s in shards)])
-    for k in range(1, SYMBOLS + 1):
-        order = np.argsort(block, kind="stable")
-        which, at, block = which[order], at[order], block[order]
-        same = block[1:] == block[:-1]
-        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        which, at, block = which[many], at[many], block[many]
-        if k == SYMBOLS or not len(at):
+    alphabet = np.unique(np.concatenate([s.alphabet for s in shards]))
+    places = [np.append(np.searchsorted(alphabet, s.alphabet), -1).astype(np.int32) for s in shards]
+    before = np.concatenate([p[s.before] for p, s in zip(places, shards)])  # -1 takes the last one, -1 again
+    small = np.uint8 if len(shards) < 256 else np.uint16
+    which = np.repeat(np.arange(len(shards), dtype=small), [len(s.order) for s in shards])
+    ends = np.repeat(np.arange(len(shards), dtype=small), [s.ends for s in shards])
+    block, common, blocks = np.zeros(len(which), np.int32), np.full(len(which), -1, np.int16), 0
+    fresh, symbol = np.ones(len(which), bool), np.empty(len(which), np.int32)
+    for k in range(symbols):
+        symbol[np.argsort(which, kind="stable")] = before
+        at = np.flatnonzero(symbol >= 0).astype(np.uint64)
+        key = symbol.take(at).astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= at
+        key.sort()  # by one symbol each; places keep the order of equals
+        source = key.astype(np.uint32)
+        key >>= np.uint64(32)
+        held, which = block.take(source), np.concatenate((ends, which.take(source)))
+        fresh[len(ends) + 1 :] = (key[1:] != key[:-1]) | (held[1:] != held[:-1])
+        np.cumsum(fresh, out=block, dtype=np.int32)
+        if block[-1] == blocks:
             break
-        symbol = np.empty(len(at), np.uint64)
-        for j, s in enumerate(shards):
-            mine = which == j
-            symbol[mine] = s.symbol(at[mine], k)
-        block = mix(block ^ symbol)
-    out = np.zeros(windows, bool)
-    out[base[which] + at] = True
+        common[fresh & (common < 0)] = k
+        blocks = int(block[-1])
+    common[~fresh] = symbols
+    common[:1] = -1
+    return which, common
+
+
+def repeated(shards: list[ShardBwt], length: int) -> list[np.ndarray]:
+    """Of each shard, at which positions strings of `length` bytes start that start elsewhere in the shards too."""
+    symbols = length // SYMBOL
+    which, common = merged_transform(shards, symbols)
+    many = common >= symbols
+    many[:-1] |= many[1:]
+    place, out, at = np.argsort(which, kind="stable"), [], 0
+    for s in shards:
+        mask = np.zeros(len(s.order), bool)
+        mask[s.order] = many[place[at : at + len(s.order)]]
+        at += len(s.order)
+        out.append(mask)
     return out
 
 
@@ -184,26 +232,19 @@ def merged(length: int):
     """Of snippets sorted by anchor: the ranges of windows that also start elsewhere, for every snippet that has some."""
 
     def solve(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, list[int], list[int]]]:
-        shards, cut, size, i = [], [], 0, 0
-        while i < len(rows):
-            j = i
-            while j < len(rows) and (j == i or size < SHARD):
-                size, j = size + len(rows[j][3]), j + 1
-            data = np.frombuffer(b"".join(r[3] for r in rows[i:j]), np.uint8)
-            lens = np.array([len(r[3]) for r in rows[i:j]])
-            n, begin = lens - length + 1, np.cumsum(lens) - lens
-            k = np.repeat(np.arange(j - i), n)
-            inside = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-            anchor = np.array([r[0] for r in rows[i:j]], np.int64).view(np.uint64)
-            place = np.array([r[2] for r in rows[i:j]], np.int64)
-            cut += list(zip(sum(len(s.total) - 1 for s in shards) + begin, n))
-            shards.append(ShardBwt(prefix_hash(data), begin[k] + inside, mix(anchor[k] ^ mix((place[k] - inside).astype(np.uint64))), length))
-            i, size = j, 0
-        mask = repeated(shards, sum(len(s.total) - 1 for s in shards))
-        for (anchor, name, _, _), (b, n) in zip(rows, cut):
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], mask[b : b + n].view(np.int8), [0]))))
-            if len(edges):
-                yield anchor, name, edges[::2].tolist(), edges[1::2].tolist()
+        cuts, size = [0], 0
+        for i, row in enumerate(rows):
+            size += len(row[3])
+            if size >= SHARD:
+                cuts.append(i + 1)
+                size = 0
+        cuts = cuts if cuts[-1] == len(rows) else [*cuts, len(rows)]
+        shards = [ShardBwt([r[3] for r in rows[a:b]], length) for a, b in zip(cuts, cuts[1:])]
+        for a, b, s, mask in zip(cuts, cuts[1:], shards, repeated(shards, length)):
+            for (anchor, name, _, data), base in zip(rows[a:b], s.base):
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], mask[base : base + len(data) - length + 1].view(np.int8), [0]))))
+                if len(edges):
+                    yield anchor, name, edges[::2].tolist(), edges[1::2].tolist()
 
     def run(batches: Batches) -> Batches:
         held, size = [], 0
@@ -269,10 +310,13 @@ def cleaned(length: int, looked, as_text: bool):
                     if looked is None:
                         first, last = (np.array(g[i] or [], np.int64) for g in given)
                     else:
-                        full, part, lo, froms, tos = looked.value
-                        start, n, _, _, name = runs_of(text, length)
-                        whole, (hit, at) = found(full, name)[0], found(part, name)
-                        hit &= ~whole
+                        full, full_anchor, part, part_anchor, lo, froms, tos = looked.value
+                        start, n, _, anchor, name = runs_of(text, length)
+                        (whole, place), (hit, at) = found(full, name), found(part, name)
+                        if len(full):  # names alone are too short for the runs of a large corpus
+                            whole &= full_anchor[place] == anchor
+                        if len(part):
+                            hit &= ~whole & (part_anchor[at] == anchor)
                         first, last = [start[whole]], [(start + n)[whole]]
                         for k in np.flatnonzero(hit):
                             a, b = lo[at[k]], lo[at[k] + 1]
@@ -312,16 +356,17 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 
     1. Anchors cut all windows into runs; equal windows lie in runs of equal anchors. Anchors found once have no repeats.
     2. Runs of equal bytes repeat as a whole. Runs that share only their anchor with others are open.
-    3. The open runs' bytes are dealt out by anchor; shards of their windows are sorted and merged (see repeated()). An anchor
+    3. The open runs' bytes are dealt out by anchor; shards of them get Burrows-Wheeler transforms, which are merged (see
+       merged_transform()): intervals of common prefixes of `length` bytes are the repeats. An anchor
        with more than `hot` different runs is counted window by window instead, so that no task holds its runs.
     4. Every text finds the ranges of its runs, in broadcast tables of at most `lookup_rows` rows, or beyond that by joins.
 
     `carry` names further columns to keep as they are. With `as_text`, spans leave out the parts of characters at their ends,
-    and `kept` is a string. `length` must be a multiple of 5 and at least 64. Null and short texts lose nothing (null counts as empty). A repeated row
+    and `kept` is a string. `length` must be a multiple of 8 and at least 128. Null and short texts lose nothing (null counts as empty). A repeated row
     repeats all it has, if it is long enough. Null ids are kept; an empty table gives no rows; other columns are not used.
     """
-    if length % SYMBOLS or length < 2 * GRAM:
-        raise ValueError("length must be a multiple of 5 and at least 64")
+    if length % SYMBOL or length < 2 * GRAM:
+        raise ValueError(f"length must be a multiple of {SYMBOL} and at least {2 * GRAM}")
     spark = docs.sparkSession
     rows = only(docs, doc_id=id_col, text=text_col, **{f"carried_{k}": c for k, c in enumerate(carry)})
     text = rows.select("text")
@@ -358,12 +403,13 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     full = runs.where("n > 1").select("anchor", "name")
     small = full.count() <= lookup_rows and (ranges.agg(F.sum(F.size("froms"))).first()[0] or 0) <= lookup_rows
     if small:
-        part = ranges.select("name", "froms", "tos").toArrow()
-        names = longs(part, "name")
+        part, whole = ranges.select("anchor", "name", "froms", "tos").toArrow(), full.toArrow()
+        names, full_names = longs(part, "name"), longs(whole, "name")
         order = np.argsort(names)
         froms, tos = (pa.array([], x.type) if not x.num_chunks else x.combine_chunks().take(pa.array(order)) for x in (part.column("froms"), part.column("tos")))
         lo = np.cumsum(np.concatenate(([0], np.asarray(froms.value_lengths(), np.int64))))
-        looked = spark.sparkContext.broadcast((np.sort(longs(full.select("name").toArrow(), "name")), names[order], lo, np.asarray(froms.flatten()), np.asarray(tos.flatten())))
+        by = np.argsort(full_names)
+        looked = spark.sparkContext.broadcast((full_names[by], longs(whole, "anchor")[by], names[order], longs(part, "anchor")[order], lo, np.asarray(froms.flatten()), np.asarray(tos.flatten())))
         source = rows
     else:
         r1, r2 = row_key()

@@ -308,10 +308,54 @@ def test_repeats(docs, odd, spark):
     for kw in ({}, {"hot": 1}, {"lookup_rows": 3}):
         got = repeats.without_repeats(df, **kw).collect()
         assert collections.Counter((r["doc_id"], bytes(r["kept"])) for r in got) == want
+    real = queries.table
+    queries.table = lambda *_: df
+    try:
+        got = queries.op8_repeats(spark, "").collect()
+    finally:
+        queries.table = real
+    digests = collections.Counter((d, hashlib.sha256(kept).hexdigest()) for (d, kept), n in want.items() for _ in range(n))
+    assert collections.Counter((r["doc_id"], r["kept_sha256"]) for r in got) == digests
+    size = collections.Counter((d, len(b)) for d, b in rows)
+    assert collections.Counter((r["doc_id"], r["n_bytes"]) for r in got) == size and all(0 <= r["n_removed"] <= r["n_bytes"] and (r["n_spans"] > 0) == (r["n_removed"] > 0) for r in got)
+    assert sum(r["n_bytes"] - r["n_removed"] for r in got) == sum(len(kept) * n for (_, kept), n in want.items())
     assert repeats.without_repeats(odd.limit(0)).count() == 0
     assert all(r["kept"] is not None for r in repeats.without_repeats(df, as_text=True).collect())
 
 
+@pytest.mark.parametrize("length", [16, 24, 200])
+def test_merged_transforms(length):
+    """Merged transforms against plain sorting: the order, the common prefixes, and which strings start elsewhere too."""
+    rng = random.Random(length)
+    for _ in range(12):
+        base = ["".join(rng.choice("ab") for _ in range(rng.randrange(length, 3 * length))).encode() for _ in range(3)] + [b"a" * 2 * length]
+        some = []
+        for _ in range(rng.randrange(1, 12)):
+            b = rng.choice(base)
+            x = bytearray(b[rng.randrange(len(b) - length + 1) :])
+            x[rng.randrange(len(x))] ^= rng.random() < 0.5
+            some.append(bytes(x))
+        cuts = sorted({0, len(some), *(rng.randrange(len(some)) for _ in range(rng.randrange(4)))})
+        shards = [repeats.ShardBwt(some[a:b], length) for a, b in zip(cuts, cuts[1:])]
+        seen = collections.Counter(s[i : i + length] for s in some for i in range(len(s) - length + 1))
+        for a, b, s, mask in zip(cuts, cuts[1:], shards, repeats.repeated(shards, length)):
+            for x, at in zip(some[a:b], s.base):
+                assert mask[at : at + len(x) + 1].tolist() == [seen[x[i : i + length]] > 1 for i in range(len(x) - length + 1)] + [False] * length
+        which, common = repeats.merged_transform(shards, length // 8)
+        used, line = [0] * len(shards), []
+        for j in which:
+            s, k = shards[j], shards[j].order[used[j]]
+            i = int(np.searchsorted(s.base, k, "right")) - 1
+            line.append(some[cuts[j] + i][k - s.base[i] :][:length])
+            used[j] += 1
+        whole = [x for x in line if len(x) >= 8]
+        ends = len(line) - len(whole)
+        assert all(x >= y or len(x) < length or len(y) < length for x, y in zip(line[ends + 1 :], line[ends:]))
+        for x, y, c in zip(line[ends:], line[ends + 1 :], common[ends + 1 :]):
+            if len(x) == len(y) == length:
+                assert c == next((k for k in range(length // 8) if x[8 * k : 8 * k + 8] != y[8 * k : 8 * k + 8]), length // 8)
+
+
 def test_telephony(odd):
     assert telephony.MU_LAW[[0xFF, 0x7F, 0x80, 0x00]].tolist() == [0, 0, 32124, -32124]
     assert telephony.A_LAW[[0xD5, 0x55, 0xAA, 0x2A]].tolist() == [8, -8, 32256, -32256]
