@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +34,40 @@ SENTENCES = {
     "U": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "V": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "W": "this is free and unencumbered software released into the public domain",
+    "LGPL21": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "LGPL3": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "LESSER": "see the gnu lesser general public license for more details",
+    "LIBRARY": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "AGPL3": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "AFFERO": "see the gnu affero general public license for more details",
+    "EPL2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "BOOST": "distributed under the boost software license version 1 0",
+    "CC0": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "ASIS": "this software is provided as is without any express or implied warranty",
+    "NOEVENT": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "ANYONE": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "PERL": "this library is free software you can redistribute it and or modify it under the same terms as perl itself",
     "X": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
 }
 
 #: Rules in order: the licence and the sentences that state it one after the other. An earlier rule takes its sentences
 #: before a later one looks, so whole texts stand before notices and longer notices before their beginnings; fixed values.
 RULES = [
-    ("MIT", "DE"),
-    ("BSD-3-Clause", "RSTU"),
-    ("BSD-2-Clause", "RST"),
-    ("Apache-2.0", "GHI"),
-    ("GPL-3.0-or-later", "KMN"),
-    ("GPL-2.0-or-later", "LMN"),
+    ("MIT", "D E"),
+    ("BSD-3-Clause", "R S T U"),
+    ("BSD-2-Clause", "R S T"),
+    ("Zlib", "ASIS NOEVENT ANYONE"),
+    ("Apache-2.0", "G H I"),
+    ("GPL-3.0-or-later", "K M N"),
+    ("GPL-2.0-or-later", "L M N"),
+    ("AGPL-3.0-or-later", "AGPL3 M AFFERO"),
+    ("LGPL-2.1-or-later", "LGPL21 LIBRARY LESSER"),
+    ("LGPL-3.0-or-later", "LGPL3 LIBRARY LESSER"),
     ("GPL-3.0-or-later", "K"),
     ("GPL-2.0-or-later", "L"),
+    ("AGPL-3.0-or-later", "AGPL3"),
+    ("LGPL-2.1-or-later", "LGPL21"),
+    ("LGPL-3.0-or-later", "LGPL3"),
     ("MIT", "B"),
     ("MIT", "C"),
     ("Apache-2.0", "G"),
@@ -54,13 +76,22 @@ RULES = [
     ("CC-BY-NC-4.0", "O"),
     ("CC-BY-SA-4.0", "Q"),
     ("CC-BY-4.0", "P"),
+    ("CC0-1.0", "CC0"),
     ("MPL-2.0", "V"),
+    ("EPL-2.0", "EPL2"),
+    ("BSL-1.0", "BOOST"),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", "PERL"),
     ("Unlicense", "W"),
     ("ISC", "X"),
     ("all-rights-reserved", "A"),
 ]
 
 
+def marked(codes: str) -> str:
+    """A sequence of identifiers as it stands among others, so that none is found inside another."""
+    return "".join(f"<{c}>" for c in codes.split())
+
+
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space, and at line ends; scan() also joins lines."""
     return F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+", "$1\n"), "\n")
@@ -84,6 +115,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     null; an empty table gives no rows; other columns are not looked at.
     """
     known, rules = known or SENTENCES, rules or RULES
+    for code, sentence in known.items():
+        if sentence != " ".join(re.findall("[a-z0-9]+", sentence)) or not sentence or not re.fullmatch(r"[^\s<>]+", code):
+            raise ValueError(f"the known sentence {code!r} isn't in its normal form")
+    if missing := {c for _, codes in rules for c in codes.split()} - set(known):
+        raise ValueError(f"rules name unknown sentences: {', '.join(sorted(missing))}")
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame([(v, k) for k, v in known.items()], "sentence string, code string"))
     split = [v.split() for v in known.values()]
@@ -100,13 +136,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     seen = seen.withColumn("long", F.filter("s", lambda x: x["many"] > 1))
     within = lambda x: F.exists("long", lambda y: (y["many"] > x["many"]) & (y["at"] <= x["at"]) & (y["at"] + y["many"] >= x["at"] + x["many"]))
     seen = seen.withColumn("s", F.filter("s", lambda x: ~within(x)))
-    state = seen.select("doc_id", F.col("s.at").alias("at"), F.array_join("s.code", "").alias("left0"))
+    state = seen.select("doc_id", F.col("s.at").alias("at"), F.array_join(F.transform("s.code", lambda c: F.concat(F.lit("<"), c, F.lit(">"))), "").alias("left0"))
     found = []
     for k, (name, codes) in enumerate(rules):
-        left = F.col(f"left{k}")
-        count = (F.length(left) - F.length(F.replace(left, F.lit(codes), F.lit("")))) / len(codes)
-        found.append(F.struct(F.lit(k).alias("rule_no"), F.lit(name).alias("license_id"), count.cast("int").alias("n_matches"), F.get("at", F.instr(left, codes) - 1).cast("long").alias("first_sentence")))
-        state = state.withColumn(f"left{k + 1}", F.replace(left, F.lit(codes), F.lit("_" * len(codes))))
+        left, sequence = F.col(f"left{k}"), marked(codes)
+        count = (F.length(left) - F.length(F.replace(left, F.lit(sequence), F.lit("")))) / len(sequence)
+        place = F.size(F.split(F.substring_index(left, sequence, 1), "<")) - 1  # identifiers before the first match
+        found.append(F.struct(F.lit(k).alias("rule_no"), F.lit(name).alias("license_id"), count.cast("int").alias("n_matches"), F.get("at", place).cast("long").alias("first_sentence")))
+        state = state.withColumn(f"left{k + 1}", F.replace(left, F.lit(sequence), F.lit("<_>" * len(codes.split()))))
     return state.select("doc_id", F.explode(F.array(*found)).alias("m")).select("doc_id", "m.*").where("n_matches > 0")
 
 
@@ -115,14 +152,15 @@ def oracle() -> str:
     rows = ", ".join(f"('{v}', '{k}')" for k, v in SENTENCES.items())
     lefts, outs = ["s0 AS (SELECT doc_id, ats, codes AS l FROM seqs)"], []
     for k, (name, codes) in enumerate(RULES):
-        outs.append(f"SELECT doc_id, {k} AS rule_no, '{name}' AS license_id, CAST((length(l) - length(replace(l, '{codes}', ''))) // {len(codes)} AS INTEGER) AS n_matches, CAST(ats[instr(l, '{codes}')] AS BIGINT) AS first_sentence FROM s{k} WHERE contains(l, '{codes}')")
-        lefts.append(f"s{k + 1} AS (SELECT doc_id, ats, replace(l, '{codes}', '{'_' * len(codes)}') AS l FROM s{k})")
+        m = marked(codes)
+        outs.append(f"SELECT doc_id, {k} AS rule_no, '{name}' AS license_id, CAST((length(l) - length(replace(l, '{m}', ''))) // {len(m)} AS INTEGER) AS n_matches, CAST(ats[len(string_split(string_split(l, '{m}')[1], '<'))] AS BIGINT) AS first_sentence FROM s{k} WHERE contains(l, '{m}')")
+        lefts.append(f"s{k + 1} AS (SELECT doc_id, ats, replace(l, '{m}', '{'<_>' * len(codes.split())}') AS l FROM s{k})")
     return f"""
 WITH known(sentence, code) AS (VALUES {rows}),
 lists AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM documents WHERE text IS NOT NULL),
 parts AS (SELECT doc_id, unnest(s) AS raw, unnest(range(len(s))) AS pos FROM lists),
 hits AS (SELECT p.doc_id, p.pos, k.code FROM (SELECT doc_id, pos, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM parts) p JOIN known k ON p.sentence = k.sentence),
-seqs AS (SELECT doc_id, list(pos ORDER BY pos) AS ats, string_agg(code, '' ORDER BY pos) AS codes FROM hits GROUP BY doc_id),
+seqs AS (SELECT doc_id, list(pos ORDER BY pos) AS ats, string_agg('<' || code || '>', '' ORDER BY pos) AS codes FROM hits GROUP BY doc_id),
 {", ".join(lefts)}
 {" UNION ALL ".join(outs)}"""
 

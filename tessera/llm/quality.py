@@ -88,6 +88,45 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return net
 
 
+def fit_apart(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 20, size: int = 512, rate: float = 0.003, decay: float = 1e-3, seed: int = 3) -> Scorer:
+    """How much a row looks like a positive one rather than an unlabelled one: the same network by cross-entropy."""
+    x, y = np.concatenate((positive, unlabelled)), np.repeat([1.0, 0.0], [len(positive), len(unlabelled)])
+    weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(unlabelled)))
+    net = Scorer(x.mean(0), x.std(0) + 0.02, seed=seed)
+    x = (x - net.mean) / net.spread
+    r, adam = np.random.default_rng(seed), Adam(net.p, rate)
+    steps = max(1, len(x) // size)
+    for _ in range(max(epochs, 200 // steps)):
+        for rows in np.array_split(r.permutation(len(x)), steps):
+            h = net.hidden(x[rows])
+            s = 1 / (1 + np.exp(-np.clip(h @ net.p["v"] + net.p["c"], -40, 40)))
+            grads = net.backward(x[rows], h, (s - y[rows]) * weight[rows] / weight[rows].sum())
+            adam.step({k: g + decay * net.p[k] for k, g in grads.items()})
+    return net
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, gamma: float = 0.1, delta: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from features alone.
+
+    Whatever the threshold of a score, the unlabelled rows above it are at least that share of the positives above it. So the
+    ratio of both shares bounds it from above, and is close where hardly a negative scores so high: the least ratio, with
+    room for what few rows leave to chance. Each half of the rows is scored by a network fitted on the other half.
+    """
+    halves = [(x[::2], x[1::2]) for x in (positive, unlabelled)]
+    if min(len(h) for pair in halves for h in pair) == 0:
+        return 0.5
+    ratios = []
+    for k in (0, 1):
+        net = fit_apart(halves[0][k], halves[1][k], seed=3 + k)
+        p, u = (np.sort(net.score(pair[1 - k])) for pair in halves)
+        at = np.unique(p)
+        share_p, share_u = ((len(x) - np.searchsorted(x, at)) / len(x) for x in (p, u))
+        slack = (1 + gamma) * (np.sqrt(np.log(4 / delta) / (2 * len(u))) + np.sqrt(np.log(4 / delta) / (2 * len(p))))
+        best = int(np.argmin((share_u + slack) / share_p))
+        ratios.append(share_u[best] / share_p[best])
+    return float(np.clip(np.mean(ratios), 0.01, 0.99))
+
+
 def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, off in text_views(batch):
@@ -97,22 +136,18 @@ def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, each: int = 6000) -> Scorer | None:
     """Fitted on the driver on at most about `each` trusted positives and `each` unlabelled rows, chosen by a hash of their ids.
 
-    The prior is estimated as the share of positives among the labelled rows that may be learnt from (one positive and one
-    negative added). None without positives.
+    Labels other than positive ones play no part: the prior is estimated from both sets of rows (see class_prior()). None
+    without positives.
     """
-    mine = labels.where(taught() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    counts = {r[0]: r[1] for r in mine.groupBy("quality").count().collect()}
-    if not counts.get(1):
-        return None
-    prior = (counts[1] + 1) / (sum(counts.values()) + 2)
-    some = strata(mine.where("quality = 1"), "quality", each)
+    mine = labels.where(taught() & (F.col("quality") == 1)).select("doc_id", "quality").distinct()
+    some = strata(mine, "quality", each)
     text = docs.where(taught())
     trusted = text.join(F.broadcast(some), "doc_id").select("quality", "text")
     free = strata(text.withColumn("quality", F.lit(-1)), "quality", each, seed=12).select("quality", "text")
     x = trusted.unionByName(free).mapInArrow(trimmed(featured), "quality int, x binary").toPandas()
     grid = np.frombuffer(b"".join(x["x"]), np.float32).reshape(-1, WIDTH).astype(np.float64)
     pos, un = grid[x["quality"] == 1], grid[x["quality"] == -1]
-    return fit_nnpu(pos, un, prior) if len(pos) and len(un) else None
+    return fit_nnpu(pos, un, class_prior(pos, un)) if len(pos) and len(un) else None
 
 
 def scored(net: Scorer | None):
