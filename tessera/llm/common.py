@@ -164,6 +164,8 @@ def classes(edges: DataFrame, name: str) -> DataFrame:
         label, path = new.select("a", "l"), path_new
         if not changed:
             break
+    else:
+        raise RuntimeError("the links' classes are not complete after 200 rounds")
     removed(spark, *paths)
     return label.select(F.col("a").alias("node"), F.col("l").alias("comp"))
 
@@ -177,14 +179,15 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def strata(df: DataFrame, by: str, each: int, seed: int = 11) -> DataFrame:
-    """About `each` rows of every value of `by`, chosen by a hash of doc_id: a stratum of fewer rows is kept whole."""
-    counts = {r[0]: r[1] for r in df.where(F.col(by).isNotNull()).groupBy(by).count().collect()}  # as many rows as labels have values
+def strata(df: DataFrame, by: str, each: int, seed: int = 11, most: int = 1000) -> DataFrame:
+    """About `each` rows of each of the `most` most frequent values of `by`, chosen by a hash of doc_id: a stratum of fewer
+    rows is kept whole."""
+    counts = {r[0]: r[1] for r in df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(most).collect()}
     if not counts:
         return df.limit(0)
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() if k is not None for x in (k, min(1.0, each / n)))), F.col(by))
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.where(u < share)
+    return df.where(F.col(by).isin(list(counts)) & (u < share))
 
 
 class Adam:

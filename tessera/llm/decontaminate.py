@@ -139,16 +139,19 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+#: The same in DuckDB's SQL, over the windows at every start of all texts that share a shingle with an item of five words or
+#: more, without fingerprints.
 ORACLE = r"""
 WITH items AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 docs AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 ishing AS (SELECT item_id, len(w) AS n, unnest(range(len(w) - 4)) AS o, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM items WHERE len(w) >= 5),
 dshing AS (SELECT doc_id, len(w) AS long, unnest(range(len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM docs WHERE len(w) >= 5),
-wins AS (SELECT DISTINCT d.doc_id, i.item_id, i.n, greatest(least(d.p - i.o, d.long - i.n), 0) AS start FROM dshing d JOIN ishing i ON d.s = i.s),
-wc AS (SELECT w.doc_id, w.item_id, w.n, w.start, d.s, count(*) AS c FROM wins w JOIN dshing d ON d.doc_id = w.doc_id AND d.p >= w.start AND d.p < w.start + w.n - 4 GROUP BY ALL),
-ic AS (SELECT item_id, s, count(*) AS c FROM ishing GROUP BY ALL),
-it AS (SELECT item_id, sum(c) AS t FROM ic GROUP BY ALL),
-wt AS (SELECT doc_id, item_id, start, sum(c) AS t FROM wc GROUP BY ALL),
-sh AS (SELECT wc.doc_id, wc.item_id, wc.start, sum(least(wc.c, ic.c)) AS b FROM wc JOIN ic ON wc.item_id = ic.item_id AND wc.s = ic.s GROUP BY ALL),
-j AS (SELECT sh.doc_id, sh.item_id, sh.start, sh.b / (wt.t + it.t - sh.b) AS sim FROM sh JOIN wt ON sh.doc_id = wt.doc_id AND sh.item_id = wt.item_id AND sh.start = wt.start JOIN it ON it.item_id = sh.item_id WHERE sh.b * 100 >= 80 * (wt.t + it.t - sh.b))
-SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(sim AS DOUBLE) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) AS k FROM j) WHERE k = 1"""
+ic AS (SELECT item_id, s, count(*) AS k FROM ishing GROUP BY ALL),
+pairs AS (SELECT DISTINCT d.doc_id, i.item_id, i.n, d.long FROM dshing d JOIN ishing i ON d.s = i.s),
+hits AS (SELECT d.doc_id, ic.item_id, ic.s, ic.k, d.p FROM dshing d JOIN ic ON d.s = ic.s),
+aligned AS (SELECT DISTINCT d.doc_id, i.item_id, greatest(least(d.p - i.o, d.long - i.n), 0) AS start FROM dshing d JOIN ishing i ON d.s = i.s),
+wins AS (SELECT doc_id, item_id, n, long, unnest(range(greatest(long - n, 0) + 1)) AS start FROM pairs),
+wc AS (SELECT w.doc_id, w.item_id, w.n, w.long, w.start, h.s, least(count(*), any_value(h.k)) AS b FROM wins w JOIN hits h ON h.doc_id = w.doc_id AND h.item_id = w.item_id AND h.p >= w.start AND h.p < w.start + w.n - 4 GROUP BY ALL),
+j AS (SELECT doc_id, item_id, start, sum(b) AS b, least(any_value(long), any_value(n)) - 4 + any_value(n) - 4 AS t FROM wc GROUP BY ALL),
+k AS (SELECT j.doc_id, j.item_id, j.start, j.b / (j.t - j.b) AS sim, a.start IS NOT NULL AS aligned FROM j LEFT JOIN aligned a ON a.doc_id = j.doc_id AND a.item_id = j.item_id AND a.start = j.start WHERE j.b * 100 >= 80 * (j.t - j.b))
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(sim AS DOUBLE) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, aligned DESC, start) AS r FROM k) WHERE r = 1"""

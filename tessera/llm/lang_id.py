@@ -17,19 +17,21 @@ ASCII_LETTERS = np.zeros(256, bool)
 ASCII_LETTERS[65:91] = ASCII_LETTERS[97:123] = True
 
 
-def windows(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's windows of `length` bytes, filled up with spaces: bytes, how many a text has, real bytes in each."""
-    step = length - OVER
-    sizes = np.diff(off)
+def windows(off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's windows of `length` bytes: the text each is of, where it begins, how many of its bytes are the text's."""
+    step, sizes = length - OVER, np.diff(off)
     counts = np.maximum(1, -(-(sizes - OVER) // step))
-    ends = np.cumsum(counts)
     owner = np.repeat(np.arange(len(sizes)), counts)
-    begin = (np.arange(ends[-1]) - (ends - counts)[owner]) * step
-    at = (off[:-1][owner] + begin)[:, None] + np.arange(length)
-    real = np.minimum(sizes[owner] - begin, length)
-    inside = np.arange(length) < real[:, None]
-    padded = np.append(data, np.uint8(32))
-    return padded[np.where(inside, at, len(data))], counts, np.maximum(real, 1)
+    begin = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+    return owner, off[:-1][owner] + begin, np.minimum(sizes[owner] - begin, length)
+
+
+def cut(data: np.ndarray, begin: np.ndarray, real: np.ndarray, length: int) -> np.ndarray:
+    """The bytes of some windows, filled up with spaces."""
+    at = np.arange(length)
+    x = data.take(np.minimum(begin[:, None] + at, max(len(data) - 1, 0))) if len(data) else np.zeros((len(begin), length), np.uint8)
+    x[at >= real[:, None]] = 32
+    return x
 
 
 class ByteConv:
@@ -116,18 +118,17 @@ def predictor(net: ByteConv | None):
                 n = len(rows)
                 names, score = np.full(n, "und", object), np.zeros(n)
                 if net:
-                    letter = np.add.reduceat(np.append(ASCII_LETTERS[data], False).astype(np.int64), off[:-1]) if len(data) else np.zeros(n)
-                    letter = (letter > 0) & (np.diff(off) > 0)
+                    letter = np.logical_or.reduceat(np.append(ASCII_LETTERS[data], False), off[:-1]) & (np.diff(off) > 0)
                     for i in np.flatnonzero(~letter & (np.diff(off) > 0)):
                         letter[i] = any(c.isalpha() for c in data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"))
                     total = np.zeros((n, len(net.labels)))
-                    x, counts, real = windows(data, off, net.length)
-                    owner = np.repeat(np.arange(n), counts)
-                    for i in range(0, len(x), 1024):
-                        z = net.logits(x[i : i + 1024], tables).astype(np.float64)
+                    owner, begin, real = windows(off, net.length)
+                    for i in range(0, len(owner), 1024):
+                        some = slice(i, i + 1024)
+                        z = net.logits(cut(data, begin[some], real[some], net.length), tables).astype(np.float64)
                         z -= np.logaddexp.reduce(z, axis=1, keepdims=True)
-                        np.add.at(total, owner[i : i + 1024], z * real[i : i + 1024, None])
-                    mean = total / np.add.reduceat(real, np.concatenate(([0], np.cumsum(counts)[:-1])))[:, None]
+                        np.add.at(total, owner[some], z * np.maximum(real[some, None], 1))
+                    mean = total / np.bincount(owner, np.maximum(real, 1), n)[:, None]
                     p = np.exp(mean - np.logaddexp.reduce(mean, axis=1, keepdims=True))
                     best = p.argmax(1)
                     names = np.where(letter, np.array(net.labels, object)[best], "und")

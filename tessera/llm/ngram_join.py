@@ -16,6 +16,8 @@ WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: A task remembers so many sets, to send the keys of copies once.
+MOST_SEEN = 1 << 18
 #: Standard deviations above the expected number of empty groups that a band provides for.
 SPREAD = 3
 
@@ -161,6 +163,8 @@ def tagged(n: int, num: int, den: int):
                     h = shingle_set(data[off[i] : off[i + 1]], n)
                     a, b = prints(h)
                     k = bands.keys(h) if len(h) and (a, b) not in seen else np.zeros(0, np.uint64)
+                    if len(seen) > MOST_SEEN:
+                        seen.clear()
                     seen.add((a, b))
                     sizes.append(len(h)), f1.append(a), f2.append(b), keys.append(k)
                 yield pa.RecordBatch.from_arrays(
@@ -305,7 +309,7 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     r, r2 = row_key()
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumns({"r": r, "r2": r2})
     full, p_full = written(rows.mapInArrow(trimmed(tagged(n, num, den)), "doc_id long, r long, r2 long, n long, f1 long, f2 long, keys array<long>"), "ngram-keys")
-    base, _ = written(full.drop("keys"), "ngram-sets")
+    base, p_base = written(full.drop("keys"), "ngram-sets")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r", "r2")  # the row that stands for others
     reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min(first).alias("first"), F.first("n").alias("n"))
     reps = reps.select("f1", "f2", "n", "first", "first.r", F.expr("coalesce(first.doc_id, -1 - (first.r & 9223372036854775807))").alias("node"))
@@ -356,9 +360,11 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
     joined = classes(edges, "ngram-classes")
     named = reps.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("first").alias("top"))
-    names, _ = written(named.select("f1", "f2", "comp").join(least, "comp").select("f1", "f2", "top"), "ngram-names")
+    names, p_names = written(named.select("f1", "f2", "comp").join(least, "comp").select("f1", "f2", "top"), "ngram-names")
     removed(spark, p_held, *paths)
     out = base.select("doc_id", "r", "r2", "n", "f1", "f2").join(names, ["f1", "f2"], "left")
     stays = (F.col("n") == 0) | (F.col("r").eqNullSafe(F.col("top.r")) & F.col("r2").eqNullSafe(F.col("top.r2")))
     shown = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("component_id")]
-    return out.select(*shown, *([F.col("r").alias("r1"), "r2", stays.alias("stays")] if row_keys else []))
+    out, _ = written(out.select(*shown, *([F.col("r").alias("r1"), "r2", stays.alias("stays")] if row_keys else [])), "ngram-out")
+    removed(spark, p_base, p_names)
+    return out

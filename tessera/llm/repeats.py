@@ -15,7 +15,7 @@ Batches = Iterator[pa.RecordBatch]
 
 GRAM = 64  # bytes of the grams that anchors are chosen from
 CHUNK = 1 << 20  # windows that are looked at together; a gram's place in a chunk fits the low bits of its key
-SYMBOL = 8  # bytes of a symbol of the transforms
+SYMBOL = 20  # bytes of a symbol of the transforms
 SHARD = 1 << 14  # bytes of snippets whose suffixes are sorted together, before shards are merged
 LOW = np.uint64((1 << 21) - 1)
 
@@ -51,30 +51,32 @@ def anchored_runs(total: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     Equal windows have equal anchors at equal distances, wherever they stand. Of each run: first window, number of windows,
     place of the anchor, hash of the anchor.
     """
-    size, parts, down = len(total) - 1, [], POWERS.upto(len(total))[1]
-    for c in range(0, size - length + 1, CHUNK):
-        top = min(size, c + CHUNK + length - 1)
-        gram = (total[c + GRAM : top + 1] - total[c : top - GRAM + 1]) * down[c : top - GRAM + 1]
-        gram ^= gram >> np.uint64(32)
-        gram *= M1  # the high bits, which the order goes by, depend on all bits
-        key = gram & ~LOW
-        key |= np.arange(len(gram), dtype=np.uint64)
-        least = sliding_min(key, length - GRAM + 1)
-        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        place = (least[first] & LOW).astype(np.int64)
-        parts.append((c + first, np.diff(np.append(first, len(least))), c + place, gram[place]))
-    if not parts:
-        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    down, n = POWERS.upto(len(total))[1], len(total) - GRAM
+    gram = (total[GRAM:] - total[:n]) * down[:n]
+    gram ^= gram >> np.uint64(32)
+    gram *= M1  # the high bits, which the order goes by, depend on all bits
+    key = gram & ~LOW
+    key |= np.arange(n, dtype=np.uint64)
+    least = sliding_min(key, length - GRAM + 1)
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    place = (least[first] & LOW).astype(np.int64)
+    return first, np.diff(np.append(first, len(least))), place, gram[place]
 
 
 def runs_of(data: np.ndarray, length: int):
-    """anchored_runs() with each run's name: a hash of its bytes (all its windows'), its anchor and the anchor's place."""
-    if len(data) < length:
+    """anchored_runs() with each run's name: a hash of its bytes (all its windows'), its anchor and the anchor's place.
+
+    Long texts go CHUNK windows at a time. That cuts runs, which then are open if they stand whole elsewhere.
+    """
+    parts = []
+    for c in range(0, len(data) - length + 1, CHUNK):
+        total = prefix_hash(data[c : c + CHUNK + length - 1])
+        start, n, place, anchor = anchored_runs(total, length)
+        name = mix(slice_hash(total, start, start + n + length - 1) ^ mix(anchor + (place - start).astype(np.uint64)))
+        parts.append((c + start, n, c + place, anchor, name))
+    if not parts:
         return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    total = prefix_hash(data)
-    start, n, place, anchor = anchored_runs(total, length)
-    return start, n, place, anchor, mix(slice_hash(total, start, start + n + length - 1) ^ mix(anchor + (place - start).astype(np.uint64)))
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,40 +141,62 @@ def snippets(length: int, open_):
     return run
 
 
+def ranked(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Dense ranks of pairs of ranks."""
+    key = (high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    return out
+
+
+def alphabet(snippets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol that starts at each position, as its place among all symbols in the order of their bytes, and the snippets'
+    numbers of positions: one more than bytes. Positions that no whole symbol follows have -1."""
+    sizes = np.array([len(b) + 1 for b in snippets])
+    data = np.frombuffer(b"\0".join(snippets) + b"\0" * (SYMBOL + 8), np.uint8)
+    value = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").ravel().astype(np.uint64)
+    n = int(sizes.sum())
+    rank = ranked(value[: n + SYMBOL] >> np.uint64(32), value[: n + SYMBOL] & np.uint64(0xFFFFFFFF))
+    rank = ranked(rank[: n + SYMBOL - 8], rank[8:])
+    rank = ranked(rank[:n], rank[SYMBOL - 16 :][:n])
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # positions to the snippet's last
+    rank[left <= SYMBOL] = -1
+    return rank, sizes
+
+
 class ShardBwt:
     """The Burrows-Wheeler transform of snippets over symbols of SYMBOL bytes: their suffixes in order, as far as `length`
-    bytes tell them apart, and for each the symbol before it.
+    bytes tell them apart, and for each the symbol before it, -1 where there is none.
 
-    A snippet has one position more than bytes. Positions that a whole symbol doesn't follow are its ends: each is a symbol of
-    its own, and they come first.
+    The ends of snippets, where no whole symbol follows, are symbols of their own; they come first.
     """
 
-    def __init__(self, snippets: list[bytes], length: int):
-        sizes = np.array([len(b) + 1 for b in snippets])
-        self.base = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"\0".join(snippets) + b"\0" * SYMBOL, np.uint8)
-        value = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SYMBOL)).view(">u8").ravel()[: sizes.sum()].astype(np.uint64)
-        n, left = len(value), np.repeat(self.base + sizes, sizes) - np.arange(sizes.sum())  # positions to the snippet's last
-        end = left <= SYMBOL
+    def __init__(self, symbol: np.ndarray, sizes: np.ndarray, length: int):
+        self.base, n = np.cumsum(sizes) - sizes, len(symbol)
+        end = symbol < 0
         self.ends = int(end.sum())
-        self.alphabet, symbol = np.unique(value[~end], return_inverse=True)
-        rank = np.empty(n, np.int64)
-        rank[end], rank[~end] = np.arange(self.ends), symbol + self.ends
-        first, step = rank, SYMBOL
+        rank = symbol + self.ends
+        rank[end] = np.arange(self.ends)
+        left, step = np.repeat(self.base + sizes, sizes) - np.arange(n), SYMBOL
         while step < length:  # each round doubles the bytes that suffixes are ordered by
             ahead = np.zeros(n, np.int64)
             ahead[:-step] = rank[step:]
             ahead[left <= step] = 0
-            key = (rank.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
-            order = np.argsort(key)
-            key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+            rank = ranked(rank, ahead)
             step *= 2
-        self.order = order
-        self.before = np.full(n, -1, np.int64)  # the place in the alphabet of the symbol before each suffix
-        inner = np.flatnonzero(order - np.repeat(self.base, sizes)[order] >= SYMBOL)
-        self.before[inner] = first[order[inner] - SYMBOL] - self.ends
+        self.order = np.argsort(rank, kind="stable")
+        self.before = np.full(n, -1, np.int32)
+        inner = np.flatnonzero(self.order - np.repeat(self.base, sizes)[self.order] >= SYMBOL)
+        self.before[inner] = symbol[self.order[inner] - SYMBOL]
+
+
+def transforms(snippets: list[bytes], cuts: list[int], length: int) -> list[ShardBwt]:
+    """The transforms of shards of the snippets, which are cut at these places, over one alphabet."""
+    symbol, sizes = alphabet(snippets)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    return [ShardBwt(symbol[at[a] : at[b]], sizes[a:b], length) for a, b in zip(cuts, cuts[1:])]
 
 
 def merged_transform(shards: list[ShardBwt], symbols: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,9 +208,7 @@ def merged_transform(shards: list[ShardBwt], symbols: int) -> tuple[np.ndarray,
     suffix is compared with another. Suffixes part in the pass that sees their first differing symbol, which gives their
     common prefix; a pass in which none part is the last that is needed.
     """
-    alphabet = np.unique(np.concatenate([s.alphabet for s in shards]))
-    places = [np.append(np.searchsorted(alphabet, s.alphabet), -1).astype(np.int32) for s in shards]
-    before = np.concatenate([p[s.before] for p, s in zip(places, shards)])  # -1 takes the last one, -1 again
+    before = np.concatenate([s.before for s in shards])
     small = np.uint8 if len(shards) < 256 else np.uint16
     which = np.repeat(np.arange(len(shards), dtype=small), [len(s.order) for s in shards])
     ends = np.repeat(np.arange(len(shards), dtype=small), [s.ends for s in shards])
@@ -239,7 +261,7 @@ def merged(length: int):
                 cuts.append(i + 1)
                 size = 0
         cuts = cuts if cuts[-1] == len(rows) else [*cuts, len(rows)]
-        shards = [ShardBwt([r[3] for r in rows[a:b]], length) for a, b in zip(cuts, cuts[1:])]
+        shards = transforms([r[3] for r in rows], cuts, length)
         for a, b, s, mask in zip(cuts, cuts[1:], shards, repeated(shards, length)):
             for (anchor, name, _, data), base in zip(rows[a:b], s.base):
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], mask[base : base + len(data) - length + 1].view(np.int8), [0]))))
@@ -362,7 +384,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     4. Every text finds the ranges of its runs, in broadcast tables of at most `lookup_rows` rows, or beyond that by joins.
 
     `carry` names further columns to keep as they are. With `as_text`, spans leave out the parts of characters at their ends,
-    and `kept` is a string. `length` must be a multiple of 8 and at least 128. Null and short texts lose nothing (null counts as empty). A repeated row
+    and `kept` is a string. `length` must be a multiple of 20 and at least 128. Null and short texts lose nothing (null counts as empty). A repeated row
     repeats all it has, if it is long enough. Null ids are kept; an empty table gives no rows; other columns are not used.
     """
     if length % SYMBOL or length < 2 * GRAM:

@@ -370,7 +370,7 @@ def test_repeats(docs, odd, spark):
     assert all(r["kept"] is not None for r in repeats.without_repeats(df, as_text=True).collect())
 
 
-@pytest.mark.parametrize("length", [16, 24, 200])
+@pytest.mark.parametrize("length", [40, 60, 200])
 def test_merged_transforms(length):
     """Merged transforms against plain sorting: the order, the common prefixes, and which strings start elsewhere too."""
     rng = random.Random(length)
@@ -383,24 +383,23 @@ def test_merged_transforms(length):
             x[rng.randrange(len(x))] ^= rng.random() < 0.5
             some.append(bytes(x))
         cuts = sorted({0, len(some), *(rng.randrange(len(some)) for _ in range(rng.randrange(4)))})
-        shards = [repeats.ShardBwt(some[a:b], length) for a, b in zip(cuts, cuts[1:])]
+        shards = repeats.transforms(some, cuts, length)
         seen = collections.Counter(s[i : i + length] for s in some for i in range(len(s) - length + 1))
         for a, b, s, mask in zip(cuts, cuts[1:], shards, repeats.repeated(shards, length)):
             for x, at in zip(some[a:b], s.base):
                 assert mask[at : at + len(x) + 1].tolist() == [seen[x[i : i + length]] > 1 for i in range(len(x) - length + 1)] + [False] * length
-        which, common = repeats.merged_transform(shards, length // 8)
+        which, common = repeats.merged_transform(shards, length // repeats.SYMBOL)
         used, line = [0] * len(shards), []
         for j in which:
             s, k = shards[j], shards[j].order[used[j]]
             i = int(np.searchsorted(s.base, k, "right")) - 1
             line.append(some[cuts[j] + i][k - s.base[i] :][:length])
             used[j] += 1
-        whole = [x for x in line if len(x) >= 8]
-        ends = len(line) - len(whole)
+        ends, size = sum(len(x) < repeats.SYMBOL for x in line), repeats.SYMBOL
         assert all(x >= y or len(x) < length or len(y) < length for x, y in zip(line[ends + 1 :], line[ends:]))
         for x, y, c in zip(line[ends:], line[ends + 1 :], common[ends + 1 :]):
             if len(x) == len(y) == length:
-                assert c == next((k for k in range(length // 8) if x[8 * k : 8 * k + 8] != y[8 * k : 8 * k + 8]), length // 8)
+                assert c == next((k for k in range(length // size) if x[size * k : size * k + size] != y[size * k : size * k + size]), length // size)
 
 
 def plain_adpcm(block):
@@ -505,11 +504,41 @@ def test_pipeline(spark, docs, tmp_path):
     assert set(last.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and 0 < last.count() <= docs.count()
 
 
-def test_queries(spark):
+def test_queries(spark, docs):
+    from tokenizers import Tokenizer
+
     assert len(queries.QUERIES) == 10 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
-    r = queries.op2_bpe(spark, SMALL).first()
-    text = spark.read.parquet(f"{SMALL}/documents.parquet").where(F.col("doc_id") == r["doc_id"]).first()["text"]
-    assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    t, want = Tokenizer.from_file(bpe.default_path()), {}
+    for d, x in texts(docs):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op2_bpe(spark, SMALL).collect()} == want
+
+
+def test_windows():
+    """All windows of a text and what they hold, against plain slices."""
+    rows = [b"", b"ab", b"x" * 256, b"y" * 257, bytes(range(256)) * 5, "é".encode() * 300]
+    data, off = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+    owner, begin, real = lang_id.windows(off, 256)
+    got = [(int(o), bytes(x)) for o, x in zip(owner, lang_id.cut(data, begin, real, 256))]
+    step = 256 - lang_id.OVER
+    want = [(k, b[i : i + 256].ljust(256)) for k, b in enumerate(rows) for i in range(0, max(1, len(b) - lang_id.OVER), step)]
+    assert got == want
+
+
+def test_long_texts_in_chunks(spark, monkeypatch):
+    """Runs that chunks cut are found all the same."""
+    rng = np.random.default_rng(9)
+    a, b = ("".join(map(chr, rng.integers(97, 123, n))) for n in (3000, 900))
+    df = spark.createDataFrame([(1, a + b), (2, b[3:] + a[:500]), (3, "q" * 2500)], "doc_id long, text string").coalesce(1)
+    want = {r["doc_id"]: bytes(r["kept"]) for r in repeats.without_repeats(df).collect()}
+    text = np.frombuffer((a + b).encode(), np.uint8)
+    whole = repeats.runs_of(text, 200)
+    monkeypatch.setattr(repeats, "CHUNK", 512)
+    cut = repeats.runs_of(text, 200)
+    assert cut[1].sum() == whole[1].sum() == len(text) - 199 and len(cut[0]) > len(whole[0])
+    assert want[1] == a[500:].encode() + b[:3].encode() and want[2] == want[3] == b""
+    assert {r["doc_id"]: bytes(r["kept"]) for r in repeats.without_repeats(df).collect()} == want
 
 
 @pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100)])
