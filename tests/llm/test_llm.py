@@ -44,21 +44,10 @@ def words(t):
 def test_ngram_join(docs, odd, n, num, more):
     rows = [*texts(docs), *((-k - 1, t) for k, (_, t) in enumerate(ODD))]
     sets = {d: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if (w := words(t)) else set() for d, t in rows}
-    comp = {d: d for d in sets}
-
-    def root(x):
-        while comp[x] != x:
-            x = comp[x]
-        return x
-
-    for a, b in itertools.combinations(sorted(sets), 2):
-        both = len(sets[a] & sets[b])
-        if both and 100 * both >= num * len(sets[a] | sets[b]):
-            x, y = root(a), root(b)
-            comp[max(x, y)] = min(x, y)
+    first = grouped(sets, num)
     df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_classes(df, n, num, 100, **more).collect()}
-    assert got == {d: (len(s), root(d)) for d, s in sets.items()}
+    assert got == {d: (len(s), first[d]) for d, s in sets.items()}
     out = ngram_join.near_classes(odd).collect()
     assert len(out) == len(ODD) and all(r["component_id"] == 4 for r in out if r["n_shingles"] == 5)
     assert ngram_join.near_classes(odd.limit(0)).count() == 0
@@ -504,6 +493,77 @@ def test_pipeline(spark, docs, tmp_path):
     assert set(last.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and 0 < last.count() <= docs.count()
 
 
+def grouped(sets, num):
+    """The least member of each one's class, by comparing all pairs."""
+    comp = {d: d for d in sets}
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= num * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            comp[max(x, y)] = min(x, y)
+    return {d: root(d) for d in sets}
+
+
+def test_pipeline_against_brute_force(spark):
+    """What run() returns, from what the first stage keeps, by plain Python."""
+    import regex
+    from tokenizers import Tokenizer
+
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SMALL).collect()}
+    kept = {d: t for d, t in texts(corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL))}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for d, t in kept.items()}
+    first = grouped(sets, 80)
+    kept = {d: t for d, t in kept.items() if first[d] == d}
+    raw = {d: (t or "").encode() for d, t in kept.items()}
+    seen = collections.Counter(b[i : i + 200] for b in raw.values() for i in range(len(b) - 199))
+    for d, b in raw.items():
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        at, out = 0, []
+        for c in kept[d] or "":
+            size = len(c.encode())
+            if not gone[at : at + size].all():
+                out.append(c)
+            at += size
+        kept[d] = "".join(out)
+
+    def cut(text):
+        return [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+
+    def bag(w, size):
+        return collections.Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+
+    items = [w for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if (w := cut(r["text"] or ""))]
+    leaking = set()
+    for d, t in kept.items():
+        w = cut(t)
+        for item in items:
+            size = min(5, len(item))
+            own = bag(item, size)
+            if not own.keys() & bag(w, size).keys():
+                continue
+            for s in range(max(len(w) - len(item), 0) + 1):
+                part = bag(w[s : s + len(item)], size)
+                if 100 * (part & own).total() >= 80 * (part | own).total():
+                    leaking.add(d)
+                    break
+    t = Tokenizer.from_file(bpe.default_path())
+    want = {}
+    for d, x in kept.items():
+        if d not in leaking:
+            ids = t.encode(x, add_special_tokens=False).ids
+            want[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(x.encode()).hexdigest())
+    assert leaking and got == want
+
+
 def test_queries(spark, docs):
     from tokenizers import Tokenizer
 
