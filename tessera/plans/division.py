@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.stats import key_struct, key_tuple
+from tessera.plans.stats import key_struct, key_tuple, looked_up
 from tessera.sources.scratch import scratch
 
 SLICE = 1 << 20  # rows (by order key) that are numbered together
@@ -32,7 +32,7 @@ def sampled(df: DataFrame, pid: str, order: str, fraction: float, seed: int, ste
         wanted[p] = (k, int(UNIT * max(0.0, k - slack) / n), int(UNIT * min(1.0, (k + slack) / n)))
     if not wanted:
         return df.drop("__u")
-    limits = F.broadcast(spark.createDataFrame([(p, *w) for p, w in wanted.items()], "__q int, __k long, __lo long, __hi long"))
+    limits = looked_up(spark.createDataFrame([(p, *w) for p, w in wanted.items()], "__q int, __k long, __lo long, __hi long"), len(wanted))
     df = df.join(limits, F.col(pid) == F.col("__q")).where("__u < __hi")
     counts = {r[0]: (r["sure"], r["some"]) for r in df.groupBy(pid).agg(F.count_if(F.col("__u") < F.col("__lo")).alias("sure"), F.count("*").alias("some")).collect()}
     for p, (k, _, hi) in wanted.items():
@@ -40,7 +40,7 @@ def sampled(df: DataFrame, pid: str, order: str, fraction: float, seed: int, ste
         if sure > k or (some < k and hi < UNIT):
             raise RuntimeError("a sample's hashes are too uneven; take another seed")
     sure = df.where("__u < __lo")
-    left = F.broadcast(spark.createDataFrame([(p, k - counts.get(p, (0, 0))[0]) for p, (k, *_) in wanted.items()], "__p int, __left long"))
+    left = looked_up(spark.createDataFrame([(p, k - counts.get(p, (0, 0))[0]) for p, (k, *_) in wanted.items()], "__p int, __left long"), len(wanted))
     near = df.where("__u >= __lo").withColumn("__r", F.row_number().over(Window.partitionBy(pid).orderBy("__u", order)))
     near = near.join(left, F.col(pid) == F.col("__p")).where("__r <= __left")
     return sure.select(*(F.col(f"`{c}`") for c in df.columns)).unionByName(near.select(*(F.col(f"`{c}`") for c in df.columns))).drop("__u", "__q", "__k", "__lo", "__hi")
@@ -71,7 +71,7 @@ def key_divisions(counts: DataFrame, index_columns: tuple[str, ...], rows: int)
         start = counts.sparkSession.createDataFrame(list(before.items()), "__p int, __b long")
         run = F.sum("__c").over(Window.partitionBy("__p").orderBy(*order)) + F.col("__b")
         key = key_struct(counts, index_columns)
-        parts = ranged.join(F.broadcast(start), "__p").withColumn("__part", F.floor(run / rows)).groupBy("__part")
+        parts = ranged.join(looked_up(start, len(before)), "__p").withColumn("__part", F.floor(run / rows)).groupBy("__part")
         found = parts.agg(F.sum("__c").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
     return [(r["n"], key_tuple(counts, index_columns, r["lo"]), key_tuple(counts, index_columns, r["hi"])) for r in sorted(found, key=lambda r: r["__part"])]
 
@@ -98,6 +98,6 @@ def row_numbers(df: DataFrame, pid: str, order: str) -> DataFrame:
         total += n
     start = df.sparkSession.createDataFrame(offsets, f"{pid} int, __h array<long>, __s long, __b long, __n long")
     w = Window.partitionBy(pid, "__h", "__s")
-    df = df.join(F.broadcast(start), [pid, "__h", "__s"], "left").withColumns({"__row": F.row_number().over(w.orderBy(order)) - 1 + F.col("__b"), "__m": F.count("*").over(w)})
+    df = df.join(looked_up(start, len(offsets)), [pid, "__h", "__s"], "left").withColumns({"__row": F.row_number().over(w.orderBy(order)) - 1 + F.col("__b"), "__m": F.count("*").over(w)})
     changed = F.raise_error(F.lit("the rows changed while they were numbered; write the dataset first")).cast("long")
     return df.withColumn("__row", F.when(F.col("__m").eqNullSafe(F.col("__n")), F.col("__row")).otherwise(changed)).drop("__h", "__s", "__b", "__n", "__m")

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from tessera.functions.order import carried, received
 
 
+#: Look-up tables of the driver's are broadcast up to so many rows; beyond that Spark joins them by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def looked_up(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def key_struct(df: DataFrame, columns: tuple[str, ...]) -> Column:
     """The index columns as one struct, in the form in which they travel to the driver."""
     return F.struct(*(carried(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"c{k}") for k, c in enumerate(columns)))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tessera.errors import AppendError
 from tessera.plans.layout import Layout
-from tessera.plans.stats import partition_stats
+from tessera.plans.stats import looked_up, partition_stats
 from tessera.sources import codec
 from tessera.sources.files import Files
 
@@ -56,7 +56,7 @@ def _numbered(spark: SparkSession, df: DataFrame, name: Column, names: list, all
         df = df.withColumn(PID, place)
     else:
         table = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField(PID, T.IntegerType()), T.StructField("__name", T.IntegerType() if isinstance(names[0], int) else T.StringType())]))
-        df = df.withColumn("__name", name).join(F.broadcast(table), "__name", "left").drop("__name")
+        df = df.withColumn("__name", name).join(looked_up(table, len(names)), "__name", "left").drop("__name")
     if not all_:
         return df.where(F.col(PID).isNotNull())
     return df.withColumn(PID, F.coalesce(PID, F.raise_error(F.concat(F.lit("a file that wasn't listed: "), name)).cast("int")))
