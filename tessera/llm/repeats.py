@@ -18,6 +18,7 @@ CHUNK = 1 << 20  # windows that are looked at together; a gram's place in a chun
 SYMBOL = 20  # bytes of a symbol of the transforms
 SHARD = 1 << 14  # bytes of snippets whose suffixes are sorted together, before shards are merged
 LOW = np.uint64((1 << 21) - 1)
+MOST_SEEN = 1 << 18  # names of runs that a task remembers
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -122,12 +123,15 @@ def named_runs(length: int, common):
 
 
 def snippets(length: int, open_):
-    """The bytes of the runs of `open_` (all runs where it is None), each once in a slice of texts."""
+    """The bytes of the runs of `open_` (all runs where it is None), each once in a task as far as it remembers them."""
 
     def run(batches: Batches) -> Batches:
+        seen = set()
         for batch in batches:
             for rows, data, off in text_views(batch):
-                out, seen = [], set()
+                out = []
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
                 for i in range(len(rows)):
                     text = data[off[i] : off[i + 1]]
                     start, n, place, anchor, name = runs_of(text, length)
@@ -251,7 +255,7 @@ def repeated(shards: list[ShardBwt], length: int) -> list[np.ndarray]:
 
 
 def merged(length: int):
-    """Of snippets sorted by anchor: the ranges of windows that also start elsewhere, for every snippet that has some."""
+    """Of snippets sorted by anchor and name: the ranges of windows that also start in others, for every snippet that has some."""
 
     def solve(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, list[int], list[int]]]:
         cuts, size = [0], 0
@@ -273,6 +277,8 @@ def merged(length: int):
         for batch in batches:
             out = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "name", "place", "bytes"))):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # the same run from another task: one is enough to find what single runs share with it
                 if size > 4 * SHARD and row[0] != held[-1][0]:
                     out += solve(held)
                     held, size = [], 0
@@ -413,7 +419,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         cool, warm = bytes_.join(hots, "anchor", "left_anti"), bytes_.join(hots, "anchor", "left_semi").dropDuplicates(["anchor", "name"])
     else:
         cool, warm = bytes_, None
-    ranges = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(merged(length)), "anchor long, name long, froms array<long>, tos array<long>")
+    ranges = cool.repartition("anchor").sortWithinPartitions("anchor", "name").mapInArrow(trimmed(merged(length)), "anchor long, name long, froms array<long>, tos array<long>")
     if warm is not None:
         points = warm.mapInArrow(trimmed(hot_windows(length)), "anchor long, name long, at long, window long")
         points, p_points = written(points, "repeats-points")
