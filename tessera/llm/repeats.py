@@ -19,6 +19,8 @@ SYMBOL = 20  # bytes of a symbol of the transforms
 SHARD = 1 << 14  # bytes of snippets whose suffixes are sorted together, before shards are merged
 LOW = np.uint64((1 << 21) - 1)
 MOST_SEEN = 1 << 18  # names of runs that a task remembers
+PIECES = 10  # a sieve is made in 2 ** PIECES parts
+MOST_WORDS = 24  # and has 2 ** MOST_WORDS words of 64 bits at most: beyond some 10 ** 8 values it lets more others through
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -80,6 +82,12 @@ def runs_of(data: np.ndarray, length: int):
     return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def runs_of_all(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """runs_of() every text between two offsets, after the number of its text for each run."""
+    got = [runs_of(data[a:b], length) for a, b in zip(off, off[1:])]
+    return np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), *(np.concatenate(x) for x in zip(*got))
+
+
 def found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each x is in a sorted table, and where."""
     if not len(table):
@@ -88,6 +96,47 @@ def found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == x, at
 
 
+def probes(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a sieve of 2 ** bits words where each value stands, and the up to four bits that it has there."""
+    h, mask = mix(values), np.zeros(len(values), np.uint64)
+    for k in range(0, 24, 6):
+        mask |= np.uint64(1) << ((h >> np.uint64(k)) & np.uint64(63))
+    return (h >> np.uint64(64 - bits)).astype(np.int64), mask
+
+
+def passed(sieve: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value may be one that the sieve was made of: true for all of those, and for a few per cent of others."""
+    at, mask = probes(values, len(sieve).bit_length() - 1)
+    return sieve[at] & mask == mask
+
+
+def sieve_of(df: DataFrame, column: str, most_words: int = MOST_WORDS):
+    """A broadcast Bloom filter of a long column, of one or two bytes a row; tasks make its pieces. See passed()."""
+    bits = min(max(PIECES + 2, (df.count() // 8).bit_length()), most_words)
+
+    def dealt(batches: Batches) -> Batches:
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((probes(x, bits)[0] >> (bits - PIECES)).astype(np.int32)), batch.column(0)], ["piece", "value"])
+
+    def made(batches: Batches) -> Batches:
+        held = {}
+        for batch in batches:
+            piece, x = batch.column("piece").to_numpy(), batch.column("value").to_numpy().view(np.uint64)
+            at, mask = probes(x, bits)
+            for p in np.unique(piece):
+                mine = piece == p
+                words = held.setdefault(int(p), np.zeros(1 << bits - PIECES, np.uint64))
+                np.bitwise_or.at(words, at[mine] & len(words) - 1, mask[mine])
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([w.tobytes() for w in held.values()], pa.binary())], ["piece", "words"])
+
+    pieces = df.select(column).mapInArrow(trimmed(dealt), "piece int, value long").repartition("piece").mapInArrow(trimmed(made), "piece int, words binary").toArrow()
+    sieve = np.zeros((1 << PIECES, 1 << bits - PIECES), np.uint64)
+    for p, words in zip(pieces.column("piece").to_pylist(), pieces.column("words")):
+        sieve[p] = np.frombuffer(words.as_buffer(), np.uint64)
+    return df.sparkSession.sparkContext.broadcast(sieve.ravel())
+
+
 def longs(t: pa.Table, column: str) -> np.ndarray:
     return t.column(column).to_numpy().astype(np.int64).view(np.uint64)
 
@@ -106,24 +155,22 @@ def anchors(length: int):
 
 
 def named_runs(length: int, common):
-    """Runs (of the common anchors, where these are given) with how often each stands in a slice of texts."""
+    """Runs of the common anchors (and of a few others) with how often each stands in a slice of texts."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for rows, data, off in text_views(batch):
                 got = [runs_of(data[off[i] : off[i + 1]], length)[3:] for i in range(len(rows))]
                 anchor, name = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-                if common is not None:
-                    hit = found(common.value, anchor)[0]
-                    anchor, name = anchor[hit], name[hit]
-                name, first, n = np.unique(name, return_index=True, return_counts=True)
+                hit = passed(common.value, anchor)
+                anchor, (name, first, n) = anchor[hit], np.unique(name[hit], return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([signed(anchor[first]), signed(name), pa.array(n)], ["anchor", "name", "n"])
 
     return run
 
 
 def snippets(length: int, open_):
-    """The bytes of the runs of `open_` (all runs where it is None), each once in a task as far as it remembers them."""
+    """The bytes of the runs of `open_` (and of a few others), each once in a task as far as it remembers them."""
 
     def run(batches: Batches) -> Batches:
         seen = set()
@@ -132,13 +179,12 @@ def snippets(length: int, open_):
                 out = []
                 if len(seen) > MOST_SEEN:
                     seen.clear()
-                for i in range(len(rows)):
-                    text = data[off[i] : off[i + 1]]
-                    start, n, place, anchor, name = runs_of(text, length)
-                    for k in np.flatnonzero(found(open_.value, name)[0]) if open_ is not None else range(len(name)):
-                        if name[k] not in seen:
-                            seen.add(name[k])
-                            out.append((anchor[k], name[k], place[k] - start[k], text[start[k] : start[k] + n[k] + length - 1].tobytes()))
+                begin, start, n, place, anchor, name = runs_of_all(data, off, length)
+                for k in np.flatnonzero(passed(open_.value, name)):
+                    if name[k] not in seen:
+                        seen.add(name[k])
+                        a = off[begin[k]] + start[k]
+                        out.append((anchor[k], name[k], place[k] - start[k], data[a : a + n[k] + length - 1].tobytes()))
                 a, s, p, b = zip(*out) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([signed(np.array(a, np.uint64)), signed(np.array(s, np.uint64)), pa.array(p, pa.int64()), pa.array(b, pa.binary())], ["anchor", "name", "place", "bytes"])
 
@@ -297,13 +343,27 @@ def merged(length: int):
 def hot_windows(length: int):
     """Of a hot anchor's snippets: a row for every window, named by its bytes, so that no task needs them all."""
 
+    def points(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        anchor, name, place, bytes_ = zip(*rows)
+        sizes = np.array([len(b) - length + 1 for b in bytes_])
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start = at + np.repeat(np.cumsum(sizes + length - 1) - sizes - length + 1, sizes)
+        anchor, name, place = (np.repeat(np.array(x, np.int64), sizes) for x in (anchor, name, place))
+        total = prefix_hash(np.frombuffer(b"".join(bytes_), np.uint8))
+        w = mix(slice_hash(total, start, start + length) ^ mix(anchor.view(np.uint64) + (place - at).astype(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(name), pa.array(at), signed(w)], ["anchor", "name", "at", "window"])
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
+            held, size = [], 0
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "name", "place", "bytes"))):
-                total = prefix_hash(np.frombuffer(row[3], np.uint8))
-                at = np.arange(len(row[3]) - length + 1)
-                w = mix(slice_hash(total, at, at + length) ^ mix(np.full(len(at), row[0], np.int64).view(np.uint64) + (row[2] - at).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x)) for x in row[:2]] + [pa.array(at), signed(w)], ["anchor", "name", "at", "window"])
+                held.append(row)
+                size += len(row[3])
+                if size > CHUNK:
+                    yield points(held)
+                    held, size = [], 0
+            if held:
+                yield points(held)
 
     return run
 
@@ -365,15 +425,16 @@ def cleaned(length: int, looked, as_text: bool):
     return run
 
 
-def placed_runs(length: int):
-    """Every run with its row's key and place: the way without look-up tables."""
+def placed_runs(length: int, told):
+    """The runs of `told` (and a few others) with their rows' keys and places: the way without look-up tables."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for rows, data, off in text_views(batch):
-                for i in range(len(rows)):
-                    start, n, _, anchor, name = runs_of(data[off[i] : off[i + 1]], length)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), rows.column(k)[i].as_py(), np.int64)) for k in (0, 1)] + [pa.array(start), pa.array(n), signed(anchor), signed(name)], ["r1", "r2", "start", "n", "anchor", "name"])
+                which, start, n, _, anchor, name = runs_of_all(data, off, length)
+                hit = passed(told.value, name)
+                keys = [pa.array(rows.column(k).to_numpy()[which[hit]]) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(start[hit]), pa.array(n[hit]), signed(anchor[hit]), signed(name[hit])], ["r1", "r2", "start", "n", "anchor", "name"])
 
     return run
 
@@ -389,6 +450,9 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
        with more than `hot` different runs is counted window by window instead, so that no task holds its runs.
     4. Every text finds the ranges of its runs, in broadcast tables of at most `lookup_rows` rows, or beyond that by joins.
 
+    What goes from one step to the next (anchors, open runs, runs to join) is picked by sieves, which miss none; the few others
+    that they let through have no repeats, and the steps' own grouping and joins leave them out.
+
     `carry` names further columns to keep as they are. With `as_text`, spans leave out the parts of characters at their ends,
     and `kept` is a string. `length` must be a multiple of 20 and at least 128. Null and short texts lose nothing (null counts as empty). A repeated row
     repeats all it has, if it is long enough. Null ids are kept; an empty table gives no rows; other columns are not used.
@@ -399,17 +463,11 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     rows = only(docs, doc_id=id_col, text=text_col, **{f"carried_{k}": c for k, c in enumerate(carry)})
     text = rows.select("text")
 
-    def looked_up(df: DataFrame, column: str):
-        """A sorted broadcast array of a long column, or None beyond lookup_rows: then nothing is left out."""
-        if df.count() > lookup_rows:
-            return None
-        return spark.sparkContext.broadcast(np.sort(longs(df.select(column).toArrow(), column)))
-
     common, p_common = written(text.mapInArrow(trimmed(anchors(length)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeats-anchors")
-    runs, p_runs = written(text.mapInArrow(trimmed(named_runs(length, looked_up(common, "anchor"))), "anchor long, name long, n long").groupBy("anchor", "name").agg(F.sum("n").alias("n")), "repeats-runs")
+    runs, p_runs = written(text.mapInArrow(trimmed(named_runs(length, sieve_of(common, "anchor"))), "anchor long, name long, n long").groupBy("anchor", "name").agg(F.sum("n").alias("n")), "repeats-runs")
     kinds = runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     open_, p_open = written(runs.join(kinds, "anchor").select("anchor", "name", "n", "kinds"), "repeats-open")
-    bytes_ = text.mapInArrow(trimmed(snippets(length, looked_up(open_, "name"))), "anchor long, name long, place long, bytes binary")
+    bytes_ = text.mapInArrow(trimmed(snippets(length, sieve_of(open_, "name"))), "anchor long, name long, place long, bytes binary")
     hots = open_.where(F.col("kinds") > hot).select("anchor").distinct()
     n_hot = hots.count()
     if n_hot:
@@ -441,10 +499,13 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         source = rows
     else:
         r1, r2 = row_key()
-        every = rows.select(r1, r2, "text").mapInArrow(trimmed(placed_runs(length)), "r1 long, r2 long, start long, n long, anchor long, name long")
-        whole = every.join(full, ["anchor", "name"], "left_semi").select("r1", "r2", "start", F.col("start").alias("f"), (F.col("start") + F.col("n")).alias("t"))
-        some = every.join(ranges, ["anchor", "name"]).select("r1", "r2", "start", F.explode(F.arrays_zip("froms", "tos")).alias("x")).select("r1", "r2", "start", (F.col("start") + F.col("x.froms")).alias("f"), (F.col("start") + F.col("x.tos")).alias("t"))
-        per, _ = written(whole.union(some).distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("f", "t")).alias("x")), "repeats-spans")
+        none = F.lit(None).cast("array<long>")
+        told = full.select("anchor", "name", none.alias("froms"), none.alias("tos")).union(ranges.select("anchor", "name", "froms", "tos"))
+        every = rows.select(r1, r2, "text").mapInArrow(trimmed(placed_runs(length, sieve_of(told, "name"))), "r1 long, r2 long, start long, n long, anchor long, name long")
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("froms"), F.col("n").alias("tos")))  # a run of `full` goes as a whole
+        each = every.join(told, ["anchor", "name"]).select("r1", "r2", "start", F.explode(F.coalesce(F.arrays_zip("froms", "tos"), whole)).alias("x"))
+        each = each.select("r1", "r2", (F.col("start") + F.col("x.froms")).alias("f"), (F.col("start") + F.col("x.tos")).alias("t")).distinct()
+        per, _ = written(each.groupBy("r1", "r2").agg(F.collect_list(F.struct("f", "t")).alias("x")), "repeats-spans")
         source = rows.withColumns({"r1": r1, "r2": r2}).join(per, ["r1", "r2"], "left").select("doc_id", *rows.columns[2:], F.col("x.f").alias("froms"), F.col("x.t").alias("tos"), "text")
         looked = None
     removed(spark, p_common, p_runs, p_open, p_ranges, *([p_bytes, p_points] if warm is not None else []))

@@ -359,6 +359,36 @@ def test_repeats(docs, odd, spark):
     assert all(r["kept"] is not None for r in repeats.without_repeats(df, as_text=True).collect())
 
 
+def test_repeats_beyond_lookup_tables(docs, monkeypatch):
+    """Without look-up tables the steps take in no more rows than with them, and find the same."""
+    real, seen = repeats.written, []
+
+    def counted(df, name):
+        out = real(df, name)
+        seen[-1][name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(repeats, "written", counted)
+    got = []
+    for most in (1 << 22, 3):
+        seen.append({})
+        got.append(sorted((r["doc_id"], bytes(r["kept"])) for r in repeats.without_repeats(docs, lookup_rows=most).collect()))
+    assert got[0] == got[1]
+    assert "repeats-spans" in seen[1] and all(seen[1][k] == n for k, n in seen[0].items())
+    every = sum(len(np.unique(repeats.runs_of(np.frombuffer((t or "").encode(), np.uint8), 200)[3])) for _, t in texts(docs))
+    assert seen[1]["repeats-runs"] < every / 2
+
+
+@pytest.mark.parametrize("n, words", [(0, 24), (5, 24), (70_000, 24), (70_000, 11)])
+def test_sieve(spark, n, words):
+    """A sieve passes all it was made of, and few others unless it is too small."""
+    x = np.random.default_rng(n).integers(0, 1 << 64, n + 50_000, np.uint64)
+    df = spark.createDataFrame(pa.table({"v": x[:n].view(np.int64)}))
+    sieve = repeats.sieve_of(df, "v", words).value
+    assert len(sieve) <= 1 << words and repeats.passed(sieve, x[:n]).all()
+    assert words < 24 or repeats.passed(sieve, x[n:]).mean() < 0.05
+
+
 @pytest.mark.parametrize("length", [40, 60, 200])
 def test_merged_transforms(length):
     """Merged transforms against plain sorting: the order, the common prefixes, and which strings start elsewhere too."""
