@@ -134,21 +134,24 @@ def sliced(kind: pa.DataType, most: int, buckets: int):
     Spark puts words of the slice in, packed with their codes (see pack()). A text with all its pieces stays in one slice."""
 
     def run(batches: Batches) -> Batches:
-        flats, counts, rows, size, done, at = [], [], [], 0, 0, -1
+        dicts, held_codes, counts, rows, size, done, at = [], [], [], [], 0, 0, -1  # of a slice's batches; words are held once a batch
 
         def closed() -> Batches:
             name = (TaskContext.get().partitionId() << 32) + done
-            d = pa.concat_arrays(flats).dictionary_encode()
-            flats.clear()
-            code = d.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(-np.bincount(code, minlength=len(d.dictionary)), kind="stable")  # frequent words get small codes
+            d = pa.concat_arrays(dicts).dictionary_encode()
+            codes_of = np.split(d.indices.to_numpy(zero_copy_only=False), np.cumsum([len(x) for x in dicts])[:-1])
+            dicts.clear()
+            often = np.zeros(len(d.dictionary), np.int64)
+            for all_, code in zip(codes_of, held_codes):
+                often[all_] += np.bincount(code, minlength=len(all_))
+            order = np.argsort(-often, kind="stable")  # frequent words get small codes
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
-            parts = np.split(rank[code], np.cumsum(np.concatenate(counts))[:-1])
-            table = pa.Table.from_batches(rows)
-            n = len(table)
-            columns = {"what": pa.array(["doc"] * n), "slice": pa.array(np.full(n, name)), **{c: table.column(c) for c in ("at", "part", "doc_id")}}
-            yield from pa.table(columns | {"codes": pa.array([planes(p) for p in parts], pa.binary())}).to_batches()
+            columns = ["what", "slice", "at", "part", "doc_id", "codes"]
+            for k, (all_, row, count) in enumerate(zip(codes_of, rows, counts)):
+                parts = np.split(rank[all_][held_codes[k]], np.cumsum(count)[:-1])
+                held_codes[k], n = None, len(row)
+                yield pa.RecordBatch.from_arrays([pa.array(["doc"] * n), pa.array(np.full(n, name)), *row.columns, pa.array([planes(p) for p in parts], pa.binary())], columns)
             bucket = spark_hash(d.dictionary) % buckets
             order = pc.sort_indices(d.dictionary).to_numpy()  # neighbours look alike, which keeps the shuffle small
             order = order[np.argsort(bucket[order], kind="stable")]
@@ -157,7 +160,7 @@ def sliced(kind: pa.DataType, most: int, buckets: int):
             held, codes = d.dictionary.take(pa.array(order)), rank[order]
             blobs = [pack(codes[i:j], held.slice(i, j - i)) for i, j in zip(first, np.append(first[1:], len(b)))]
             k = len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(["words"] * k, pa.string()), pa.array(np.full(k, name)), pa.array(b[first], pa.int64()), pa.array(np.zeros(k, np.int32)), pa.nulls(k, kind), pa.array(blobs, pa.binary())], [*columns, "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(["words"] * k, pa.string()), pa.array(np.full(k, name)), pa.array(b[first], pa.int64()), pa.array(np.zeros(k, np.int32)), pa.nulls(k, kind), pa.array(blobs, pa.binary())], columns)
 
         for batch in batches:
             part, octets = (np.asarray(batch.column(c)) for c in ("part", "octets"))
@@ -165,7 +168,8 @@ def sliced(kind: pa.DataType, most: int, buckets: int):
             while begin < len(batch):
                 if part[begin] == 0 and size > most:
                     yield from closed()
-                    flats, counts, rows, size, done = [], [], [], 0, done + 1
+                    released()
+                    dicts, held_codes, counts, rows, size, done = [], [], [], [], 0, done + 1
                     at = -1
                 end = len(batch)
                 room = size + np.cumsum(octets[begin:])  # up to the first text that fills the slice
@@ -176,7 +180,9 @@ def sliced(kind: pa.DataType, most: int, buckets: int):
                 texts = at + np.cumsum(part[begin:end] == 0)
                 at = int(texts[-1])
                 w = some.column("words")
-                flats.append(w.flatten())
+                d = w.flatten().dictionary_encode()
+                dicts.append(d.dictionary)
+                held_codes.append(d.indices.to_numpy(zero_copy_only=False))
                 counts.append(np.asarray(w.value_lengths()))
                 rows.append(pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), some.column("part"), some.column("doc_id")], ["at", "part", "doc_id"]))
                 size = int(room[end - begin - 1])
@@ -196,14 +202,19 @@ def encoder(path: str):
     return encode
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The pieces flat[start : start + length], one after the other."""
-    ends = np.cumsum(lengths)
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """The pieces flat[start : start + length], one after the other; places are worked out for `block` pieces at a time."""
+    ends = np.cumsum(lengths, dtype=np.int64)
     if not len(ends):
         return flat[:0]
-    at = np.repeat(starts - (ends - lengths), lengths)
-    at += np.arange(ends[-1])
-    return flat.take(at)
+    out, done = np.empty(ends[-1], flat.dtype), 0
+    for k in range(0, len(ends), block):
+        upto = ends[min(k + block, len(ends)) - 1]
+        at = np.repeat(starts[k : k + block] - ends[k : k + block] + lengths[k : k + block], lengths[k : k + block])
+        at += np.arange(done, upto)
+        flat.take(at, out=out[done:upto], mode="clip")
+        done = upto
+    return out
 
 
 def pieces(path: str) -> pa.Table:
@@ -271,25 +282,27 @@ def assembled(path: str, out: pa.Schema, finish: Callable[[Batches], Batches] |
         joined = pa.table({"id": pa.array(used, pa.int32())}).join(pieces(path), "id", use_threads=False).sort_by("id")
         if joined.column("piece").null_count:
             raise ValueError("the vocabulary lacks an id of its own tokenizer")
-        place = np.searchsorted(used, flat)
+        place = np.searchsorted(used, flat).astype(np.int32)
+        del flat
         piece = joined.column("piece").to_pylist()
         bytes_ = np.frombuffer(b"".join(piece), np.uint8)
-        piece_length = np.fromiter(map(len, piece), np.int64, len(piece))
-        piece_start = np.cumsum(piece_length) - piece_length
-        at, blobs = texts.column("at").to_numpy(), texts.column("codes").to_pylist()
-        sizes = np.array([len(b) // 4 for b in blobs], np.int64)
+        piece_length = np.fromiter(map(len, piece), np.int32, len(piece))
+        piece_start = np.cumsum(piece_length, dtype=np.int32) - piece_length
+        at, blobs = texts.column("at").to_numpy(), texts.column("codes")
+        sizes = pc.binary_length(blobs).to_numpy().astype(np.int64) // 4
         fresh = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))  # the first piece of each text
         per = np.add.reduceat(sizes, fresh)
         group = np.cumsum(per) // words_each
         for g in np.unique(group):
             mine = np.flatnonzero(group == g)
             lo, hi = fresh[mine[0]], fresh[mine[-1] + 1] if mine[-1] + 1 < len(fresh) else len(at)
-            codes = np.concatenate([from_planes(b) for b in blobs[lo:hi]])
+            codes = np.concatenate([from_planes(b) for b in blobs.slice(lo, hi - lo).to_pylist()])
             tokens = length[codes]
             where = gather(place, begin[codes], tokens)
             ends = np.concatenate(([0], np.cumsum(tokens)))[np.concatenate(([0], np.cumsum(per[mine])))]
-            data = gather(bytes_, piece_start[where], piece_length[where])
-            cuts = np.concatenate(([0], np.cumsum(piece_length[where])))[ends]
+            size = piece_length[where]
+            data = gather(bytes_, piece_start[where], size)
+            cuts = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[ends]
             yield pa.RecordBatch.from_arrays(
                 [texts.column("doc_id").take(pa.array(fresh[mine])).combine_chunks(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(used[where], pa.int32())), texts_of(data, cuts)],
                 ["doc_id", "ids", "decoded"],

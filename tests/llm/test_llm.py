@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import textwrap
+import types
 import zlib
 
 import numpy as np
@@ -605,6 +606,28 @@ def test_queries(spark, docs):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op2_bpe(spark, SMALL).collect()} == want
 
 
+def test_slices_hold_words_once_a_batch(monkeypatch):
+    """A slice of few distinct words holds less than half of its words' bytes and offsets between batches."""
+    monkeypatch.setattr(bpe, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    text = [f" word{k % 500}" for k in range(20_000)]
+    held = []
+
+    def fed():
+        for _ in range(8):
+            words = pa.array([text] * 10)
+            yield pa.record_batch({"doc_id": pa.array(range(10)), "part": pa.array([0] * 10, pa.int32()), "octets": pa.array([sum(map(len, text))] * 10, pa.int32()), "words": words})
+            size = words.nbytes
+            del words
+            held.append((pa.total_allocated_bytes(), size))
+
+    out = pa.Table.from_batches(bpe.sliced(pa.int64(), 1 << 30, 4)(fed()))
+    docs = out.filter(pa.compute.equal(out["what"], "doc"))
+    found = pa.Table.from_batches(bpe.unpacked(out.filter(pa.compute.equal(out["what"], "words")).to_batches()))
+    word = dict(zip(found["code"].to_pylist(), found["word"].to_pylist()))
+    assert docs["at"].to_pylist() == list(range(80)) and all([word[c] for c in bpe.from_planes(b)] == text for b in docs["codes"].to_pylist()[::9])
+    assert held[-1][0] - held[0][0] < 7 * held[0][1] / 2
+
+
 def test_windows():
     """All windows of a text and what they hold, against plain slices."""
     rows = [b"", b"ab", b"x" * 256, b"y" * 257, bytes(range(256)) * 5, "é".encode() * 300]
