@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import uuid
@@ -78,7 +79,7 @@ def planes(codes: np.ndarray) -> bytes:
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def pack(codes: np.ndarray, strings: pa.StringArray) -> bytes:
@@ -217,6 +218,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int
     return out
 
 
+@functools.cache
 def pieces(path: str) -> pa.Table:
     """(id, piece): the bytes of every id. A byte-level vocabulary writes each byte as a printable character."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -266,29 +268,36 @@ def packed(most: int = 1 << 20):
     return run
 
 
-def assembled(path: str, out: pa.Schema, finish: Callable[[Batches], Batches] | None, words_each: int = 1 << 19):
-    """Of one slice: its texts' codes and its words' ids become (doc_id, ids, decoded)."""
+def assembled(path: str, out: pa.Schema, finish: Callable[[Batches], Batches] | None, words_each: int = 1 << 17):
+    """Of one slice: its texts' codes and its words' ids become (doc_id, ids, decoded), about words_each words at a time."""
 
     def solve(texts: pa.Table, found: pa.Table) -> Batches:
-        texts = texts.sort_by([("at", "ascending"), ("part", "ascending")]).combine_chunks()
-        code, length, flat = (np.concatenate([np.zeros(0, np.int64), *map(from_planes, found.column(c).to_pylist())]) for c in ("code", "length", "ids"))
+        order = pc.sort_indices(texts.select(["at", "part"]), sort_keys=[("at", "ascending"), ("part", "ascending")])
+        at, doc_id, blobs = texts.column("at").to_numpy(), texts.column("doc_id").combine_chunks(), texts.column("codes")
+        if (np.diff(order.to_numpy().view(np.int64)) < 0).any():  # else codes are not held twice
+            at, doc_id, blobs = at[order.to_numpy()], doc_id.take(order), blobs.take(order)
+        del order
+        code, length, flat = (np.concatenate([np.zeros(0, np.int32), *(from_planes(b.as_buffer()) for b in found.column(c))]) for c in ("code", "length", "ids"))
         order = np.argsort(code)
         if len(code) and not (code[order] == np.arange(len(code))).all():
             raise ValueError("a slice's words and their ids don't agree")
-        begin = (np.cumsum(length) - length)[order]
+        begin = (np.cumsum(length, dtype=np.int64) - length)[order]
         length = length[order]
+        del code, order
         # the pieces of the slice's ids
-        used = np.flatnonzero(np.bincount(flat))
-        joined = pa.table({"id": pa.array(used, pa.int32())}).join(pieces(path), "id", use_threads=False).sort_by("id")
+        place = np.zeros(flat.max(initial=-1) + 1, np.int32)
+        place[flat] = 1
+        used = np.flatnonzero(place).astype(np.int32)
+        place[used] = np.arange(len(used))
+        joined = pa.table({"id": used}).join(pieces(path), "id", use_threads=False).sort_by("id")
         if joined.column("piece").null_count:
             raise ValueError("the vocabulary lacks an id of its own tokenizer")
-        place = np.searchsorted(used, flat).astype(np.int32)
+        place = place[flat]
         del flat
         piece = joined.column("piece").to_pylist()
         bytes_ = np.frombuffer(b"".join(piece), np.uint8)
         piece_length = np.fromiter(map(len, piece), np.int32, len(piece))
         piece_start = np.cumsum(piece_length, dtype=np.int32) - piece_length
-        at, blobs = texts.column("at").to_numpy(), texts.column("codes")
         sizes = pc.binary_length(blobs).to_numpy().astype(np.int64) // 4
         fresh = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))  # the first piece of each text
         per = np.add.reduceat(sizes, fresh)
@@ -296,7 +305,7 @@ def assembled(path: str, out: pa.Schema, finish: Callable[[Batches], Batches] |
         for g in np.unique(group):
             mine = np.flatnonzero(group == g)
             lo, hi = fresh[mine[0]], fresh[mine[-1] + 1] if mine[-1] + 1 < len(fresh) else len(at)
-            codes = np.concatenate([from_planes(b) for b in blobs.slice(lo, hi - lo).to_pylist()])
+            codes = np.concatenate([from_planes(b.as_buffer()) for b in blobs.slice(lo, hi - lo)])
             tokens = length[codes]
             where = gather(place, begin[codes], tokens)
             ends = np.concatenate(([0], np.cumsum(tokens)))[np.concatenate(([0], np.cumsum(per[mine])))]
@@ -304,7 +313,7 @@ def assembled(path: str, out: pa.Schema, finish: Callable[[Batches], Batches] |
             data = gather(bytes_, piece_start[where], size)
             cuts = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[ends]
             yield pa.RecordBatch.from_arrays(
-                [texts.column("doc_id").take(pa.array(fresh[mine])).combine_chunks(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(used[where], pa.int32())), texts_of(data, cuts)],
+                [doc_id.take(pa.array(fresh[mine])), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(used[where], pa.int32())), texts_of(data, cuts)],
                 ["doc_id", "ids", "decoded"],
             )
 

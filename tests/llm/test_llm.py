@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import textwrap
+import tracemalloc
 import types
 import zlib
 
@@ -628,6 +629,35 @@ def test_slices_hold_words_once_a_batch(monkeypatch):
     assert held[-1][0] - held[0][0] < 7 * held[0][1] / 2
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_assembling_takes_few_bytes_a_word(mixed):
+    """A slice's texts come out whole, whatever the order of their pieces; with its ids a word takes less than 64 bytes on the way (99 before)."""
+    t, rng = bpe.tokenizer(bpe.default_path()), random.Random(5)
+    some = [f" word{k} é" for k in range(500)]
+    ids = [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)]
+    parts = [(k // 2, k % 2, np.array(rng.choices(range(500), k=4096))) for k in range(128)]
+    rows = rng.sample(parts, len(parts)) if mixed else parts
+    texts = pa.table({"at": [r[0] for r in rows], "part": pa.array([r[1] for r in rows], pa.int32()), "doc_id": [100 + r[0] for r in rows], "codes": pa.array([bpe.planes(r[2]) for r in rows], pa.binary())})
+    texts = pa.Table.from_batches(texts.to_batches(max_chunksize=30))
+    codes = rng.sample(range(500), 500)
+    blobs = [[bpe.planes(np.array(x)) for x in (c, [len(ids[k]) for k in c], [i for k in c for i in ids[k]])] for c in (codes[:100], codes[100:])]
+    found = pa.table({n: pa.array([b[k] for b in blobs], pa.binary()) for k, n in enumerate(("code", "length", "ids"))})
+    shape = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    run = bpe.assembled(bpe.default_path(), shape, None)
+    run(texts.slice(0, 1), found)  # the vocabulary's pieces
+    tracemalloc.start()
+    try:
+        out = run(texts, found)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out["doc_id"].to_pylist() == list(range(100, 164))
+    for k, (i, x) in enumerate(zip(out["ids"].to_pylist(), out["decoded"].to_pylist())):
+        want = [int(c) for r in parts[2 * k : 2 * k + 2] for c in r[2]]
+        assert i == [j for c in want for j in ids[c]] and x == "".join(some[c] for c in want)
+    assert peak < 64 * 128 * 4096, peak
+
+
 def test_windows():
     """All windows of a text and what they hold, against plain slices."""
     rows = [b"", b"ab", b"x" * 256, b"y" * 257, bytes(range(256)) * 5, "é".encode() * 300]
