@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.stats import key_struct, key_tuple, looked_up
-from tessera.sources.scratch import scratch
+from tessera.sources.scratch import kept, scratch
 
 SLICE = 1 << 20  # rows (by order key) that are numbered together
 UNIT = 1 << 40  # sampling hashes are below it
@@ -88,7 +88,11 @@ def row_divisions(sizes: list[int], rows: int) -> tuple[list[tuple[int, int]], l
 
 def row_numbers(df: DataFrame, pid: str, order: str) -> DataFrame:
     """df with `__row`, the global row number by (pid, order). Slices of SLICE order keys are numbered on their own; the
-    driver adds up a count for each. A slice that isn't as it was counted is an error: no row is lost in silence."""
+    driver adds up a count for each. A slice that isn't as it was counted is an error: no row is lost in silence.
+
+    The rows are written to the shared folder first: a sort draws its ranges anew in every job, and a join may deal its rows
+    anew, so order keys made from tasks' numbers only hold within a job."""
+    df = kept(df)
     head, last = F.slice(order, F.lit(1), F.size(order) - 1), F.element_at(order, -1)
     df = df.withColumns({"__h": head, "__s": F.floor(last / SLICE)})
     counts = sorted(map(tuple, df.groupBy(pid, "__h", "__s").agg(F.count("*").alias("c")).collect()))

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.sources.files import Files
 
@@ -32,3 +33,15 @@ def scratch(df: DataFrame) -> Iterator[DataFrame]:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         Files(spark, path).delete()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a written table that stays, for results that are read later. Voids and calendar intervals, which Parquet can't
+    hold, travel as text."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    odd = {f.name: f.dataType.simpleString() for f in df.schema if f.dataType.simpleString() in ("void", "interval")}
+    out = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in odd}) if odd else df
+    out.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(out.schema).parquet(path)
+    return out.withColumns({c: F.lit(None) if kind == "void" else F.col(f"`{c}`").cast(kind) for c, kind in odd.items()}) if odd else out
