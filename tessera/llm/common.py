@@ -18,6 +18,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The most bytes of a batch that a Python worker gets.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Keys of texts are broadcast up to so many rows: the driver collects them and holds their hash table and its copies.
+BROADCAST_ROWS = 1 << 16
+
 _own_dir: list[str] = []
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -82,6 +85,12 @@ def removed(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sought(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """Keys that rows of texts are joined with: broadcast if they are few. Others meet the texts in a shuffle, where each task
+    hashes its keys, so that texts are not sorted."""
+    return F.broadcast(keys) if keys.count() <= (BROADCAST_ROWS if most is None else most) else keys.hint("shuffle_hash")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import classes, lists, mix, only, removed, row_key, signed, text_views, trimmed, written
+from tessera.llm.common import BROADCAST_ROWS, classes, lists, mix, only, removed, row_key, signed, sought, text_views, trimmed, written
 
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[9, 10, 11, 12, 13, 32]] = False
@@ -286,7 +286,7 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits_each: int = 2, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = 1 << 20, row_keys: bool = False) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", *, bits_each: int = 2, tile_rows: int = 512, tile_hashes: int = 1 << 20, broadcast_rows: int = BROADCAST_ROWS, row_keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the class of documents that chains of links reach.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of n-word shingles. Hashes stand for shingles.
@@ -321,9 +321,8 @@ def near_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_
 
     def read(some: DataFrame, whole: bool, name: str) -> tuple[DataFrame, str]:
         """The bitmaps (and sets) of the representatives in `some`, from their texts."""
-        few = some.count() <= broadcast_rows
         kind = "f1 long, node long, n long, m binary" + ", h binary" * whole
-        return written(rows.select("r", "text").join(F.broadcast(some) if few else some, "r").mapInArrow(trimmed(sets(n, bits_each, whole)), kind), name)
+        return written(rows.select("r", "text").join(sought(some, broadcast_rows), "r").mapInArrow(trimmed(sets(n, bits_each, whole)), kind), name)
 
     held, p_held = read(want, False, "ngram-signs")
     nodes = held.select("f1", "node", "n").distinct()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import itertools
 import random
 import re
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, decontaminate, lang_id, licenses, lm_score, ngram_join, quality, queries, repeats, shards, telephony
+from tessera.llm import bpe, common, decontaminate, lang_id, licenses, lm_score, ngram_join, quality, queries, repeats, shards, telephony
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "   \n"), (4, "One two three four five six seven."), (4, "One two three four five six seven."), (None, "One two three four five six seven."), (None, None), (5, "é日本 ß" * 200), (6, "12 34"), (7, "ab" * 60_000)]
@@ -596,6 +597,19 @@ def test_pipeline_against_brute_force(spark):
     assert leaking and got == want
 
 
+def test_many_keys_are_not_broadcast(spark, monkeypatch):
+    """Keys to drop, and representatives whose texts are read, reach the driver only while they are few."""
+    sent, few = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or few(df))
+    docs = spark.range(70_000).selectExpr("id as doc_id", "concat('t', id) as text", "id as more").union(spark.sql("select null, null, 7L"))
+    keys = docs.where("more % 70 <> 1").select(*common.row_key())
+    left = corpus_pipeline.dropped(docs, keys)
+    assert left.columns == docs.columns and {tuple(r) for r in left.collect()} == {(k, f"t{k}", k) for k in range(1, 70_000, 70)}
+    assert not sent
+    assert corpus_pipeline.dropped(docs, keys.limit(9)).count() == 69_992 and sent == [9]
+    assert inspect.signature(ngram_join.near_classes).parameters["broadcast_rows"].default <= 1 << 16
+
+
 def test_queries(spark, docs):
     from tokenizers import Tokenizer
 
